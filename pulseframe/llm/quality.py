@@ -109,7 +109,7 @@ RULES = (
     Rule("symbols", lambda t: 10 * n_symbols(t) > len(t.words)),
     Rule("shouting", lambda t: 2 * len(_UPPER.findall(t.text)) > word_chars(t)),
     Rule("exclamations", lambda t: 4 * t.bytes.count(b"!") > len(t.words)),
-    Rule("repeated_lines", lambda t: 10 * n_dup_lines(t) > 3 * (1 + t.bytes.count(b"\n"))),
+    Rule("repeated_lines", lambda t: 2 * n_dup_lines(t) > 1 + t.bytes.count(b"\n")),
     Rule("word_length", lambda t: not 2 * len(t.words) <= word_chars(t) <= 18 * len(t.words)),
 )
 
