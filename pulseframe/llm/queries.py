@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pulseframe.llm import line_dedup, mixing, packing, quality
+from pulseframe.llm import licenses, line_dedup, mixing, packing, quality, warc
 from pulseframe.llm.common import table
 
 
@@ -24,6 +24,16 @@ def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_lines", "n_dropped", F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("kept_sha256"))
 
 
+def op7_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = licenses.scan_licenses(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return out.select("doc_id", F.size("sentence_ids").cast("long").alias("n_sentences"), F.array_join("sentence_ids", ",").alias("sentence_ids"), F.array_join("licenses", ",").alias("licenses"), "n_matches")
+
+
+def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    index = warc.archive(table(spark, sf_dir, "pages"))
+    return index.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url_key", "captured", "range_id", "position", "offset", "length")
+
+
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     pieces = packing.pack(table(spark, sf_dir, "documents"), tokenizer_path())
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset", "tier", "step_group")
@@ -36,11 +46,40 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op5_mixing": op5_mixing,
     "op6_line_dedup": op6_line_dedup,
+    "op7_licenses": op7_licenses,
+    "op8_warc": op8_warc,
     "op9_packing": op9_packing,
     "op10_quality": op10_quality,
 }
 
+def _licenses_sql() -> str:
+    """The scan as SQL: the constants are the operator's, the reading is written anew."""
+    known = ", ".join(f"'{k}': '{v}'" for k, v in licenses.KNOWN.items())
+    sentences = "list_filter(list_transform(string_split(regexp_replace({} || chr(10), '[.!?;:]+[\\x20\\x09-\\x0D]+', chr(10), 'g'), chr(10)), lambda s: MAP {{{}}}[trim(regexp_replace(translate(s, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^a-z0-9]+', ' ', 'g'), ' ')]), lambda x: x IS NOT NULL)"
+    by_line, flowing = sentences.format("t", known), sentences.format("replace(regexp_replace(t, chr(10) || chr(10) || '+', '. ' || chr(1), 'g'), chr(10), ' ')", known)
+    steps, left = [], "array_to_string(list_transform(ids, lambda s: '<' || s || '>'), '')"
+    steps.append(f"s0 AS (SELECT *, {left} AS q0 FROM ids)")
+    for i, (_, parts) in enumerate(licenses.RULES):
+        pattern = "".join(f"<{p}>" for p in parts)
+        steps.append(f"s{i + 1} AS (SELECT *, replace(q{i}, '{pattern}', '|') AS q{i + 1}, contains(q{i}, '{pattern}') AS h{i}, (length(q{i}) - length(replace(q{i}, '{pattern}', '|'))) // {len(pattern) - 1} AS c{i} FROM s{i})")
+    n = len(licenses.RULES)
+    order = list(dict.fromkeys(name for name, _ in licenses.RULES))
+    first = {name: [i for i, r in enumerate(licenses.RULES) if r[0] == name] for name in order}
+    # a licence stands where its first rule that matched stands
+    place = ", ".join(f"{{'p': CASE {' '.join(f'WHEN h{i} THEN {i}' for i in first[name])} ELSE -1 END, 'n': '{name}'}}" for name in order)
+    return f"""
+        WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+        r AS (SELECT doc_id, {by_line} AS l, {flowing} AS f FROM d),
+        ids AS (SELECT doc_id, CASE WHEN len(f) > len(l) THEN f ELSE l END AS ids FROM r),
+        {", ".join(steps)}
+        SELECT doc_id, len(ids) AS n_sentences, array_to_string(ids, ',') AS sentence_ids,
+               array_to_string(list_transform(list_sort(list_filter([{place}], lambda x: x.p >= 0)), lambda x: x.n), ',') AS licenses,
+               {" + ".join(f"c{i}" for i in range(n))} AS n_matches
+        FROM s{n}"""
+
+
 ORACLE_SQL = {
+    "op7_licenses": _licenses_sql(),
     "op6_line_dedup": r"""
         WITH lines AS (
             SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS pos
