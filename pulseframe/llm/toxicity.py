@@ -143,7 +143,8 @@ def train(texts: list[str | None], toxic: list[int], landmarks: int = 160, round
     # to begin with, each toxic text's unit of the best odds among those that are toxic again and again
     good = {max((w for w in b if not clean[w] or odds[w] > 20), key=lambda w: (seen[w], w), default=None) for b in pos} - {None}
     good = {w for w in good if seen[w] >= 2} or set(sorted(good)[:20])
-    good |= {w for w, n in seen.items() if n >= 8 and not clean[w]}
+    often = sorted((w for w, n in seen.items() if n >= 8 and not clean[w]), key=lambda w: (-seen[w], w))
+    good |= set(often[:40])
     bad = {w for w, _ in clean.most_common(1500)} - good
     rest = sorted(set(clean) - bad - good)
     bad |= set(rest[:: max(1, len(rest) // 1500)])
