@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pulseframe.llm import embeddings, licenses, line_dedup, mixing, packing, quality, toxicity, warc
+from pulseframe.llm import embeddings, licenses, line_dedup, mixing, ngram_join, packing, quality, toxicity, warc
 from pulseframe.llm.common import table
 
 
@@ -15,6 +15,10 @@ def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
     return public_tokenizers.path(name)
 
 
+def op1_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.link_components(table(spark, sf_dir, "documents"), words=3, share=90)
+
+
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     rows = toxicity.training_rows(docs, table(spark, sf_dir, "labels"))
@@ -56,6 +60,7 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_ngram_join": op1_ngram_join,
     "op2_toxicity": op2_toxicity,
     "op3_embedding_neardup": op3_embedding_neardup,
     "op5_mixing": op5_mixing,
