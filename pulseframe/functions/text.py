@@ -27,9 +27,10 @@ def line_protocol(line: Column) -> Column:
     field_pairs = pairs(F.split(fields, f",{UNQUOTED}", -1))
     sound = lambda a: F.forall(a, lambda x: F.size(x) == 2)
     entries = lambda a: F.map_from_entries(_last_of_key(F.transform(a, lambda x: F.struct(x[0].alias("key"), x[1].alias("value")))))
-    ms = F.floor(F.expr("try_cast(NULL as bigint)") if time is None else time.try_cast("bigint") / 1_000_000)
+    ns = time.try_cast("bigint")
+    ms = F.round((ns - F.pmod(ns, F.lit(1_000_000))) / 1_000_000).cast("bigint")  # a double holds the quotient, not ns itself
     whole = F.struct(F.element_at(names, 1).alias("name"), entries(tag_pairs).alias("tags"), entries(field_pairs).alias("fields"), ms.alias("time_ms"))
-    return F.when((F.size(parts) == 3) & sound(tag_pairs) & sound(field_pairs) & time.try_cast("bigint").isNotNull(), whole)
+    return F.when((F.size(parts) == 3) & sound(tag_pairs) & sound(field_pairs) & ns.isNotNull(), whole)
 
 
 def _last_of_key(entries: Column) -> Column:
