@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import base64
 import bisect
+import gzip
 import hashlib
 from collections.abc import Iterator
 from datetime import UTC, datetime, timedelta
@@ -61,7 +62,8 @@ def write_warc(pages: DataFrame, path: str, min_bytes: int = 0, records_per_file
     Of rows with equal payloads of at least ``min_bytes`` bytes, those with
     the largest id are responses, the others revisit it; shorter payloads are
     all responses. Archives are written by Spark's text writer, whose line
-    separator is the record's end, so any file system of Spark's will do.
+    separator is the record's end, so any file system of Spark's will do;
+    each is one gzip stream, and offsets count in what it unpacks to.
     A page's capture time is its id in seconds from 2024 on.
 
     Null html is an empty payload, a null url gives no target, null ids
@@ -85,7 +87,7 @@ def write_warc(pages: DataFrame, path: str, min_bytes: int = 0, records_per_file
                     out.append(record(r["id"], r["url"], r["html"], r["refers"], sha1, r["size"], _START + timedelta(seconds=(r["id"] or 0) % 10**9)))
                 yield pa.RecordBatch.from_arrays([pa.array(out, pa.string())], names=["value"])
 
-    rows.mapInArrow(run, "value string").write.option("lineSep", END).option("maxRecordsPerFile", records_per_file).text(path)
+    rows.mapInArrow(run, "value string").write.option("lineSep", END).option("maxRecordsPerFile", records_per_file).option("compression", "gzip").text(path)
 
 
 def records(data: bytes) -> Iterator[tuple[int, int, dict[str, str], bytes]]:
@@ -124,7 +126,7 @@ def read_runs(spark: SparkSession, path: str) -> DataFrame:
         for b in batches:
             for path, data in zip(b.column(0).to_pylist(), b.column(1), strict=True):
                 rows = []
-                for offset, length, head, block in records(data.as_buffer().to_pybytes()):
+                for offset, length, head, block in records(gzip.decompress(data.as_buffer())):
                     http, _, payload = block.partition(b"\r\n\r\n")
                     kind, sha1 = head["warc-type"], head["warc-payload-digest"].removeprefix("sha1:")
                     size = next(int(x[15:]) for x in http.split(b"\r\n") if x.lower().startswith(b"content-length:"))
