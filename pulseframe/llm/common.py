@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from pulseframe.operators.components import checkpoint_folder, components
+
+__all__ = ["LOWER", "SPACES", "UPPER", "WORD", "ascii_lower", "components", "scratch", "table", "written"]
+
 #: The white space that separates words: space, \t, \n, \v, \f, \r.
 SPACES = " \t\n\x0b\x0c\r"
 WORD = r"[^\x20\x09-\x0D]+"
@@ -19,15 +22,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def scratch(spark: SparkSession, name: str) -> str:
-    """A fresh path in the shared checkpoint folder.
-
-    The folder is the session's ``spark.checkpoint.dir``; only where it is
-    unset (local tests) a temporary one is made.
-    """
-    context = spark.sparkContext
-    if not context._jsc.sc().getCheckpointDir().isDefined():
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="pulseframe-"))
-    return f"{context._jsc.sc().getCheckpointDir().get()}/{name}-{uuid.uuid4().hex}"
+    """A fresh path in the session's shared checkpoint folder."""
+    return f"{checkpoint_folder(spark)}/{name}-{uuid.uuid4().hex}"
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
@@ -40,36 +36,3 @@ def written(df: DataFrame, name: str) -> DataFrame:
 def ascii_lower(c: Column) -> Column:
     """A-Z lower-cased, all else as it is. Texts of ASCII only take the faster built-in."""
     return F.when(F.octet_length(c) == F.char_length(c), F.lower(c)).otherwise(F.translate(c, UPPER, LOWER))
-
-
-def hash128(c: Column) -> Column:
-    """Two independent 64-bit hashes; equal only for equal values, for all practical purposes."""
-    return F.struct(F.xxhash64(c).alias("a"), F.xxhash64(F.lit(7), c).alias("b"))
-
-
-def components(edges: DataFrame, rounds: int = 40) -> DataFrame:
-    """Connected components of edges (u long, v long): rows (node, component), the component being its smallest node.
-
-    Alternating large-star and small-star steps; the edges of each round are
-    checkpointed to the shared folder, so a lost executor costs one round.
-    Nodes without edges have no row. An empty table gives an empty table.
-    """
-    edges = edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct().checkpoint()
-    state = None
-    for _ in range(rounds):
-        both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        large = large.where("u <> v").distinct()
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        joined = large.join(least, "u")
-        small = joined.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        edges = small.unionByName(least.select("u", F.col("m").alias("v"))).where("u <> v").distinct().checkpoint()
-        now = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if now == state:
-            break
-        state = now
-    else:
-        raise RuntimeError("components have not settled")
-    # settled edges are stars: every node points to the smallest of its component
-    return edges.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
