@@ -51,6 +51,10 @@ class Detector:
     def load(text: str) -> dict[str, Any]:
         return json.loads(text)
 
+    def describe(self, state: dict[str, Any], value: float) -> dict[str, float] | None:
+        """Numbers to look at before a step is taken; none by default."""
+        return None
+
     def parameters(self) -> dict[str, Any]:
         return {f.name: getattr(self, f.name) for f in fields(self)}
 
@@ -223,10 +227,13 @@ class Spike(Detector):
         state["mean"], state["std"] = mean, math.sqrt(sum((x - mean) ** 2 for x in h) / len(h))
         return sign
 
-    def detail(self, state, value: float) -> tuple[float, float, float, float, int]:
-        """(value, mean, lower bound, upper bound, signal) of a step, which it takes."""
-        mean, reach = state["mean"], self.threshold * state["std"]
-        return value, mean, value - reach, abs(value - mean) + value, self.signal(state, value)
+    def describe(self, state, value):
+        """Of the step to come: the value, the mean, the bound on the value's other side, the distance over the value, the signal."""
+        if state["last"] is None or not state["history"]:
+            return None
+        reach, off = self.threshold * state["std"], abs(value - state["mean"])
+        sign = 0 if len(state["history"]) < self.lag or off <= reach else 1 if value > state["mean"] else -1
+        return {"value": value, "mean": state["mean"], "bound": value - reach if value > state["mean"] else value + reach, "distance": off + value, "signal": float(sign)}
 
     def step(self, state, t, value, lossy):
         if self._stale(state, t, True):
@@ -418,6 +425,14 @@ class Changepoint(Detector):
             r[3] = (1.0 if i == 0 else 0.0) if total == 0 else r[3] / total
         return out
 
+    def describe(self, state, value):
+        """Of the runs so far: how many, which is likeliest and with what, how the value fits it, and the anomalies in a row."""
+        if not state["runs"]:
+            return None
+        at = self.likeliest(state["runs"], lambda r: r[3])
+        r = state["runs"][at]
+        return {"value": value, "runs": float(len(state["runs"])), "likeliest": float(at), "mean": r[0], "variance": r[1], "n": float(r[2]), "probability": r[3], "density": self.density(r, value), "odd": float(state["odd"])}
+
     @staticmethod
     def likeliest(runs: list[list], by) -> int:
         return max(range(len(runs) - 1), key=lambda i: by(runs[i])) if len(runs) > 1 else 0

@@ -71,5 +71,30 @@ def detect(measurements: DataFrame, detector: Detector) -> DataFrame:
     return timed(rows.repartition("stream").sortWithinPartitions("stream", "ms", "seq").mapInArrow(run, _RAW))
 
 
+DETAIL = "stream string, time timestamp, detail map<string,double>"
+
+
+def details(measurements: DataFrame, detector: Detector) -> DataFrame:
+    """What the detector saw at each step that it evaluated, beside its events: names and numbers of its ``describe``."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        stream, state, first = None, None, True
+        for b in batches:
+            out = []
+            for s, t, v, lossy in zip(*(b.column(i).to_pylist() for i in (0, 1, 3, 4)), strict=True):
+                if first or s != stream:
+                    stream, state, first = s, detector.start(), False
+                detail = detector.describe(state, v) if v is not None and not lossy else None
+                detector.step(state, t, v, lossy)
+                if detail:
+                    out.append({"stream": s, "_ms": t, "detail": list(detail.items())})
+            if out:
+                yield pa.RecordBatch.from_pylist(out, schema=pa.schema([("stream", pa.string()), ("_ms", pa.int64()), ("detail", pa.map_(pa.string(), pa.float64()))]))
+
+    rows = measurements.where("time is not null").select("stream", F.unix_millis("time").alias("ms"), "seq", "value", "is_lossy")
+    raw = rows.repartition("stream").sortWithinPartitions("stream", "ms", "seq").mapInArrow(run, DETAIL.replace("time timestamp", "_ms long"))
+    return raw.select("stream", F.timestamp_millis("_ms").alias("time"), "detail")
+
+
 def union_all(parts: list[DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, parts)

@@ -169,6 +169,23 @@ def spike_events(spark, sf):
     return plain(runtime.detect(measurements(spark, sf), D.Spike(30, 2.5, 0.01, WEEK)))
 
 
+@query("spike_details")
+def spike_details(spark, sf):
+    rows = runtime.details(measurements(spark, sf), D.Spike(30, 2.5, 0.01, WEEK))
+    return rows.select("stream", F.unix_millis("time").alias("time_ms"), *(F.round(F.col("detail")[c], 6).alias(c) for c in ("value", "mean", "bound", "distance", "signal")))
+
+
+@query("changepoint_details")
+def changepoint_details(spark, sf):
+    rows = runtime.details(runtime.not_lossy(measurements(spark, sf)), D.Changepoint(60, 4, 1, WEEK, 10, 5))
+    return rows.select("stream", F.unix_millis("time").alias("time_ms"), *(F.round(F.col("detail")[c], 6).alias(c) for c in ("value", "runs", "likeliest", "mean", "n", "probability", "odd")))
+
+
+@query("measurement_counts", f"WITH {M()} SELECT stream AS datatype, count(*) AS n FROM m GROUP BY ALL")
+def measurement_counts(spark, sf):
+    return measurements(spark, sf).withColumn("datatype", F.col("stream")).groupBy("datatype").agg(F.count("*").alias("n"))
+
+
 @query("mode_events")
 def mode_events(spark, sf):
     return plain(runtime.detect(measurements(spark, sf), D.Mode(30, 3, 1, 7.5, WEEK)), "description")

@@ -88,3 +88,14 @@ def test_nulls_and_losses_give_no_events():
     for cls in D.DETECTORS.values():
         if cls is not D.Loss:
             assert feed(cls(), [(i, None, True) for i in range(200)]) == []
+
+
+def test_descriptions_tell_the_signal_to_come():
+    d = D.Spike(lag=30, threshold=5, influence=0)
+    state, told, given = d.start(), [], []
+    d.step(state, 0, 1.0, False)
+    for i, x in enumerate([1.0, 1.1] * 20 + [9.0, 1.0]):
+        detail = d.describe(state, x)
+        told.append(int(detail["signal"]) if detail else 0)
+        given.append(len(d.step(state, i + 1, x, False)))
+    assert told == given and sum(told) == 1

@@ -153,3 +153,17 @@ def test_lines_are_sent_until_they_go_through(spark, tmp_path):
 
     sinks.deliver(spark.range(10).select(F.col("id").cast("string")), Send(log), 3, 0.01)
     assert sorted(map(int, log.read_text().split())) == list(range(10))
+
+
+def test_pushed_lines_land_and_stream(spark, tmp_path):
+    from urllib.request import Request, urlopen
+
+    from pulseframe.sources.receiver import Receiver, pushed
+
+    with Receiver(str(tmp_path / "in")) as r:
+        for i in range(3):
+            body = f'data_amp_icmp,stream={i} loss=0i,median=5i,rtts="[5]" 1000000000\nnoise\n'.encode()
+            assert urlopen(Request(f"http://127.0.0.1:{r.port}/write", data=body)).status == 204
+    q = pushed(spark, str(tmp_path / "in"), datatypes.datatype("icmp")).select("stream", "value").writeStream.format("memory").queryName("pushed").trigger(availableNow=True).start()
+    q.awaitTermination()
+    assert sorted((x.stream, x.value) for x in spark.table("pushed").collect()) == [("0", 5.0), ("1", 5.0), ("2", 5.0)]
