@@ -186,7 +186,22 @@ def measurement_counts(spark, sf):
     return measurements(spark, sf).withColumn("datatype", F.col("stream")).groupBy("datatype").agg(F.count("*").alias("n"))
 
 
-@query("mode_events")
+def _digits(v: str) -> str:
+    return f"CASE WHEN {v} = 0 THEN 0 ELSE length(abs({v})::VARCHAR) END"
+
+
+# a mode that qualifies is always the last one afterwards, so the last mode is that of the qualifying row before
+@query("mode_events", f"""WITH {M()},
+    r AS (SELECT *, row_number() OVER (PARTITION BY stream ORDER BY ms, seq) AS rn, (trunc(value)::BIGINT // pow(10, greatest(length(trunc(value)::BIGINT::VARCHAR) - 2, 0))::BIGINT) * pow(10, greatest(length(trunc(value)::BIGINT::VARCHAR) - 2, 0))::BIGINT AS bucket FROM m WHERE NOT lossy),
+    w AS (SELECT stream, rn, ms, list(bucket) OVER (PARTITION BY stream ORDER BY rn ROWS 29 PRECEDING) AS l FROM r WHERE rn > 1),
+    c AS (SELECT stream, rn, bucket, count(*) AS n FROM (SELECT stream, rn, unnest(l) AS bucket FROM w WHERE len(l) = 30) GROUP BY ALL),
+    k AS (SELECT *, row_number() OVER (PARTITION BY stream, rn ORDER BY n DESC, bucket DESC) AS rank FROM c),
+    t AS (SELECT stream, rn, max(CASE WHEN rank = 1 THEN bucket END) AS mode, max(CASE WHEN rank = 1 THEN n END) AS n, coalesce(max(CASE WHEN rank = 2 THEN n END), -2) AS second FROM k GROUP BY ALL),
+    q AS (SELECT *, lag(mode) OVER (PARTITION BY stream ORDER BY rn) AS old FROM t WHERE n >= 3 AND n - second >= 1),
+    e AS (SELECT q.*, w.ms, pow(10, greatest(CASE WHEN {_digits('old')} = {_digits('mode')} THEN {_digits('old')} - 1 ELSE greatest(least({_digits('old')}, {_digits('mode')}), 1) END - 1, 0)) AS div FROM q JOIN w USING (stream, rn)
+          WHERE old <> mode AND list_contains(l, old) AND abs(old - mode) >= CASE WHEN old = 1 THEN 1e300 WHEN old = 0 THEN 7.5 ELSE greatest(7.5, old / ln(old)) END),
+    s AS (SELECT *, trunc(old / div)::DOUBLE AS a, trunc(mode / div)::DOUBLE AS b FROM e)
+    SELECT 'mode_events' AS event_type, stream, {SEV('a', 'b')} AS severity, ms AS time_ms, 'Mode changed from ' || old::VARCHAR || ' to ' || mode::VARCHAR || '!' AS description FROM s""")
 def mode_events(spark, sf):
     return plain(runtime.detect(measurements(spark, sf), D.Mode(30, 3, 1, 7.5, WEEK)), "description")
 
