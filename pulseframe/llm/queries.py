@@ -56,7 +56,7 @@ def op7_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     index = warc.archive(table(spark, sf_dir, "pages"))
-    return index.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url_key", "captured", "range_id", "position", "offset", "length")
+    return index.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url", "captured")
 
 
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -107,7 +107,53 @@ def _licenses_sql() -> str:
         FROM s{n}"""
 
 
+#: Of edges e (a, b) over nodes n (id): the smallest id that each reaches.
+_REACH = "reach(id, other) AS (SELECT id, id FROM n UNION SELECT r.id, e.b FROM reach r JOIN e ON e.a = r.other)"
+
 ORACLE_SQL = {
+    "op1_ngram_join": rf"""
+        WITH RECURSIVE w AS (
+            SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents
+        ), s AS (
+            SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 3 THEN [array_to_string(w, ' ')]
+                   ELSE list_distinct(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])) END AS s FROM w
+        ), g AS (SELECT doc_id, len(s) AS n, unnest(s) AS g FROM s),
+        c AS (SELECT x.doc_id AS a, y.doc_id AS b, x.n AS na, y.n AS nb, count(*) AS k FROM g x JOIN g y ON x.g = y.g AND x.doc_id <> y.doc_id AND 100 * least(x.n, y.n) >= 90 * greatest(x.n, y.n) GROUP BY ALL),
+        e AS (SELECT a, b FROM c WHERE 100 * k >= 90 * (na + nb - k)),
+        n AS (SELECT doc_id AS id FROM documents),
+        {_REACH}
+        SELECT s.doc_id, len(s)::BIGINT AS n_shingles, m.component_id FROM s JOIN (SELECT id, min(other) AS component_id FROM reach GROUP BY id) m ON m.id = s.doc_id""",
+    "op3_embedding_neardup": f"""
+        WITH RECURSIVE v AS (
+            SELECT vec_id, embedding::DOUBLE[] AS x FROM embeddings
+            WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda y: y IS NULL OR NOT isfinite(y))) = 0 AND len(list_filter(embedding, lambda y: y <> 0)) > 0
+        ), e AS (SELECT p.vec_id AS a, q.vec_id AS b FROM v p JOIN v q ON p.vec_id <> q.vec_id AND len(p.x) = len(q.x) WHERE list_cosine_similarity(p.x, q.x) >= 0.9),
+        n AS (SELECT vec_id AS id FROM embeddings),
+        {_REACH},
+        m AS (SELECT id, min(other) AS component_id FROM reach GROUP BY id), d AS (SELECT a, count(*) AS n FROM e GROUP BY a)
+        SELECT m.id AS vec_id, coalesce(d.n, 0) AS n_links, component_id, component_id = m.id AS kept FROM m LEFT JOIN d ON d.a = m.id""",
+    "op8_warc": """
+        WITH p AS (SELECT page_id, url, coalesce(html, '') AS h, max(page_id) OVER (PARTITION BY coalesce(html, '')) AS owner FROM pages)
+        SELECT page_id, octet_length(encode(h))::BIGINT AS payload_bytes,
+               array_to_string(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', ((('0x' || substr(sha1(h), (i // 4 * 5 + 1)::INT, 5))::BIGINT >> (15 - i % 4 * 5)::INT) & 31)::INT + 1, 1)), '') AS payload_digest,
+               CASE WHEN page_id = owner THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> owner THEN owner END AS refers_to,
+               url, (1704067200 + page_id % 1000000000)::BIGINT AS captured
+        FROM p""",
+    "op10_quality": r"""
+        WITH d AS (SELECT doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+        b AS (SELECT doc_id, i, array_to_string(w[i:i + 7], ' ') AS x FROM (SELECT doc_id, w, unnest(range(1, len(w) - 6)) AS i FROM d WHERE len(w) >= 8)),
+        r AS (SELECT doc_id, unnest(range(i, i + 8)) AS j FROM (SELECT *, count(*) OVER (PARTITION BY doc_id, x) AS n FROM b) WHERE n > 1),
+        k AS (SELECT doc_id, count(DISTINCT j) AS n_repeat_words FROM r GROUP BY doc_id),
+        l AS (SELECT doc_id, list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS l FROM d),
+        c AS (
+            SELECT d.doc_id, t, len(w)::BIGINT AS n_words, coalesce(list_sum(list_transform(w, lambda x: length(x))), 0)::BIGINT AS word_chars, len(regexp_extract_all(t, '[#*$%&|<>]'))::BIGINT AS n_symbols,
+                   (len(l) - len(list_distinct(l)))::BIGINT AS n_dup_lines, coalesce(n_repeat_words, 0)::BIGINT AS n_repeat_words
+            FROM d JOIN l USING (doc_id) LEFT JOIN k USING (doc_id)
+        ), f AS (SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed FROM c)
+        SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+               NOT (base_failed OR 10 * n_symbols > n_words OR 2 * len(regexp_extract_all(t, '[A-ZÀ-ÖØ-Þ]')) > word_chars OR 4 * (length(t) - length(replace(t, '!', ''))) > n_words
+                    OR 2 * n_dup_lines > 1 + length(t) - length(replace(t, chr(10), '')) OR NOT (2 * n_words <= word_chars AND word_chars <= 18 * n_words)) AS kept
+        FROM f""",
     "op7_licenses": _licenses_sql(),
     "op6_line_dedup": r"""
         WITH lines AS (
