@@ -215,8 +215,8 @@ def link_components(docs: DataFrame, words: int = 5, share: int = 80, id_col: st
     # one class for each set, under its smallest id; empty sets and null ids stand alone
     reps = sets.where("n > 0 and id is not null").groupBy("one", "two", "n").agg(F.min("id").alias("rep"))
     members = reps.withColumnsRenamed({"one": "_one", "two": "_two", "n": "_n"})
-    known = sets.join(members, (F.col("id") == F.col("rep")) & (F.col("one") == F.col("_one")) & (F.col("two") == F.col("_two")), "left_semi")
-    postings = known.select("id", "n", F.posexplode("prefix").alias("pos", "gram")).distinct()
+    known = sets.join(members, (F.col("id") == F.col("rep")) & (F.col("one") == F.col("_one")) & (F.col("two") == F.col("_two")), "left_semi").dropDuplicates(["id", "one", "two"])
+    postings = known.select("id", "n", F.posexplode("prefix").alias("pos", "gram"))
     shared = postings.groupBy("gram").agg(F.min("id").alias("_lo"), F.max("id").alias("_hi")).where("_lo <> _hi").select("gram")
     postings = written(postings.join(shared, "gram").select("gram", "id", "n", "pos"), "postings")
     links, tried, label = None, None, None
