@@ -69,8 +69,8 @@ def plan_mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", so
     source, so no task holds a whole source.
 
     Nulls and ends: a null text has size 0, a null source is a source of its
-    own and comes last, null ids share one random number and rows that tie
-    are ranked by size, then by the text's hash; wholly equal rows are
+    own and comes last, null ids draw by their text and rows that tie are
+    ranked by size, then by the text's hash; wholly equal rows are
     interchangeable. Null or negative weights count as 0. An empty table
     gives an empty table. Other columns of docs aren't looked at.
     """
@@ -88,7 +88,7 @@ def plan_mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", so
         share = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size").cast("double")).otherwise(F.lit(0.0))
     per = per.withColumnRenamed("_source", "_of_source")
     rows = slim.join(per, F.col("_source").eqNullSafe(F.col("_of_source"))).withColumn("_mean", F.least(share, F.lit(float(most)))).drop("_of_source")
-    u = uniform(F.col("_id"), salt)
+    u = uniform(F.coalesce(F.col("_id").cast("string"), F.col("_of").cast("string")), salt)
     rows = rows.withColumn("_whole", F.floor("_mean").cast("long")).withColumn("_p", F.col("_mean") - F.col("_whole"))
     odds = (u / (1.0 - u)) / (F.col("_p") / (1.0 - F.col("_p")))
     rows = rows.withColumn("_q", F.when((F.col("_p") > 0) & (F.col("_size") > 0), odds))
