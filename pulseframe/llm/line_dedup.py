@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pulseframe.llm.common import SPACES, ascii_lower
+from pulseframe.llm.common import SPACES, ascii_lower, written
 
 
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = 40, min_docs: int = 5) -> DataFrame:
@@ -37,7 +37,9 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     keyed = keyed.select("_id", "_of", "_at", F.xxhash64("_key").alias("_a"), F.xxhash64(F.lit(7), "_key").alias("_b"))
     # first by hash and document, so that a line of a third of all documents is counted in many tasks
     shared = keyed.groupBy("_a", "_b", "_id").agg(F.lit(1).alias("_one")).groupBy("_a", "_b").agg(F.count("*").alias("_n"), F.max("_id").alias("_keeper")).where(F.col("_n") >= min_docs)
-    drops = keyed.join(shared.select("_a", "_b", "_keeper"), ["_a", "_b"]).where("_id <> _keeper").groupBy("_id", "_of").agg(F.collect_set("_at").alias("_drop"))
+    # written, so that both sides of the join are dealt for it alone and Spark can split a line that very many hold, or broadcast a table that proves small
+    shared = written(shared.select("_a", "_b", "_keeper"), "shared-lines")
+    drops = keyed.join(shared, ["_a", "_b"]).where("_id <> _keeper").groupBy("_id", "_of").agg(F.collect_set("_at").alias("_drop"))
     drops = drops.select(F.col("_id").alias("_drop_id"), F.col("_of").alias("_drop_of"), "_drop")
     out = docs.withColumn("_of", F.xxhash64(text_col)).join(drops, (F.col(id_col) == F.col("_drop_id")) & (F.col("_of") == F.col("_drop_of")), "left")
     kept = F.when(F.col("_drop").isNull(), F.col(text_col)).otherwise(F.array_join(F.filter(lines, lambda x, i: ~F.array_contains("_drop", i)), "\n"))
