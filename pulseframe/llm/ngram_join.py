@@ -218,6 +218,8 @@ def link_components(docs: DataFrame, words: int = 5, share: int = 80, id_col: st
     known = sets.join(members, (F.col("id") == F.col("rep")) & (F.col("one") == F.col("_one")) & (F.col("two") == F.col("_two")), "left_semi").dropDuplicates(["id", "one", "two"])
     postings = known.select("id", "n", F.posexplode("prefix").alias("pos", "gram"))
     shared = postings.groupBy("gram").agg(F.min("id").alias("_lo"), F.max("id").alias("_hi")).where("_lo <> _hi").select("gram")
+    # what an aggregate gives is written before it is joined with its own rows, here and below: then both sides are dealt for the join alone, and Spark can split an n-gram that very many hold
+    shared = written(shared, "shared")
     postings = written(postings.join(shared, "gram").select("gram", "id", "n", "pos"), "postings")
     links, tried, label = None, None, None
     for turn in range(3):
@@ -227,11 +229,12 @@ def link_components(docs: DataFrame, words: int = 5, share: int = 80, id_col: st
             rows = rows.withColumn("part", F.col("id"))
         else:
             apart = rows.groupBy("gram").agg(F.min("part").alias("_lo"), F.max("part").alias("_hi")).where("_lo <> _hi").select("gram")
-            rows = written(rows.join(apart, "gram"), "apart")
+            rows = written(rows.join(written(apart, "apart-grams"), "gram"), "apart")
         if turn < 2:
             # the leader: first the one with the fewest rarer n-grams, then any
             first = F.col("pos") if turn == 0 else F.xxhash64("id")
             lead = rows.groupBy("gram").agg(F.min(F.struct(first.alias("first"), "id", "n", "pos", "part")).alias("_lead")).select("gram", "_lead.*")
+            lead = written(lead, "leaders")
         else:
             lead = rows
         x, y = rows.alias("x"), lead.alias("y")
