@@ -66,7 +66,6 @@ def temporal_groups(events: DataFrame, gap_s: float = 10, longest_s: float | Non
     if longest_s is None:
         return _group(rows, [*keys, "island"], keys)
     longest = round(longest_s * 1000)
-    names = [*keys, "island", "ms", "row"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last, start, part = None, 0, 0
@@ -82,7 +81,6 @@ def temporal_groups(events: DataFrame, gap_s: float = 10, longest_s: float | Non
 
     kinds = {f.name: f.dataType.simpleString() for f in rows.schema.fields}
     schema = ", ".join(f"`{c}` {kinds[c]}" for c in rows.columns) + ", part long"
-    del names
     cut = rows.repartition(*keys, "island").sortWithinPartitions(*keys, "island", "ms", "stream", "event_type").mapInArrow(run, schema)
     return _group(cut, [*keys, "island", "part"], keys)
 

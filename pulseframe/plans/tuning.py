@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pulseframe import config
-from pulseframe.operators.runtime import _ARROW, _RAW, batch_of, timed
+from pulseframe.operators.runtime import _ARROW, _RAW, batch_of
 from pulseframe.operators.windows import nab_format
 
 
@@ -52,10 +52,6 @@ def evaluate(measurements: DataFrame, kind: str, parameters: list[dict[str, Any]
 
     rows = measurements.where("time is not null").select("stream", F.unix_millis("time").alias("ms"), "seq", "value", "is_lossy")
     raw = rows.repartition("stream").sortWithinPartitions("stream", "ms", "seq").mapInArrow(run, f"{_RAW}, param_id long")
-    return timed(raw.select(*_ARROW.names)) if not parameters else timed_with_id(raw)
-
-
-def timed_with_id(raw: DataFrame) -> DataFrame:
     return raw.select("param_id", "event_type", "stream", "severity", F.timestamp_millis("_ms").alias("time"), "detection_latency", "description", "tags")
 
 
