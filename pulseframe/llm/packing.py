@@ -9,13 +9,11 @@ are then dealt into step groups of near equal load.
 
 from __future__ import annotations
 
-import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 #: Window lengths, in tokens.
 TIERS = (512, 1024, 2048, 4096)
