@@ -161,7 +161,7 @@ def spike_influence1(spark, sf):
     return plain(runtime.detect(measurements(spark, sf), D.Spike(30, 2.5, 1.0, WEEK)))
 
 
-@query("spike_events", f"""WITH RECURSIVE {M()},
+SPIKES = f"""WITH RECURSIVE {M()},
     r AS (SELECT *, row_number() OVER (PARTITION BY stream ORDER BY ms, seq) AS rn, lag(value) OVER (PARTITION BY stream ORDER BY ms, seq) AS old FROM m WHERE NOT lossy),
     f AS (
         SELECT stream, 1::BIGINT AS rn, CAST([] AS DOUBLE[]) AS h, 0.0::DOUBLE AS mean, 0.0::DOUBLE AS std, false AS hit FROM r WHERE rn = 1
@@ -169,16 +169,22 @@ def spike_influence1(spark, sf):
         SELECT stream, rn, k, list_avg(k), sqrt(list_avg(list_transform(k, lambda x: (x - list_avg(k)) * (x - list_avg(k))))), hit FROM (
             SELECT r.stream, r.rn, list_append(CASE WHEN len(f.h) >= 30 THEN f.h[2:] ELSE f.h END, CASE WHEN len(f.h) >= 30 AND abs(r.value - f.mean) > 2.5 * f.std THEN 0.01 * r.value + 0.99 * f.h[-1] ELSE r.value END) AS k,
                    len(f.h) >= 30 AND abs(r.value - f.mean) > 2.5 * f.std AS hit
-            FROM f JOIN r ON r.stream = f.stream AND r.rn = f.rn + 1))
+            FROM f JOIN r ON r.stream = f.stream AND r.rn = f.rn + 1))"""
+
+
+@query("spike_events", f"""{SPIKES}
     SELECT 'spike_events' AS event_type, r.stream, {SEV('r.old', 'r.value')} AS severity, r.ms AS time_ms FROM f JOIN r USING (stream, rn) WHERE f.hit""")
 def spike_events(spark, sf):
     return plain(runtime.detect(measurements(spark, sf), D.Spike(30, 2.5, 0.01, WEEK)))
 
 
-@query("spike_details")
+@query("spike_details", f"""{SPIKES},
+    d AS (SELECT r.stream, r.ms, r.value, f.mean, 2.5 * f.std AS reach, abs(r.value - f.mean) AS far, len(f.h) AS n FROM r JOIN f ON r.stream = f.stream AND r.rn = f.rn + 1 WHERE len(f.h) > 0)
+    SELECT stream, ms AS time_ms, round(value, 9) AS value, round(mean, 9) AS mean, round(CASE WHEN value > mean THEN value - reach ELSE value + reach END, 9) AS bound, round(far + value, 9) AS distance,
+           CASE WHEN n < 30 OR far <= reach THEN 0.0 WHEN value > mean THEN 1.0 ELSE -1.0 END::DOUBLE AS signal FROM d""")
 def spike_details(spark, sf):
     rows = runtime.details(measurements(spark, sf), D.Spike(30, 2.5, 0.01, WEEK))
-    return rows.select("stream", F.unix_millis("time").alias("time_ms"), *(F.round(F.col("detail")[c], 6).alias(c) for c in ("value", "mean", "bound", "distance", "signal")))
+    return rows.select("stream", F.unix_millis("time").alias("time_ms"), *(F.round(F.col("detail")[c], 9).alias(c) for c in ("value", "mean", "bound", "distance", "signal")))
 
 
 @query("changepoint_details")
