@@ -75,6 +75,8 @@ def normal(sentence: str) -> str:
 
 
 KNOWN = {normal(s): k for k, s in SENTENCES.items()}
+#: Known sentences with a mark inside, by the parts that splitting makes of them.
+PARTED = {"".join(f"<{normal(p)}>" for p in parts): f"<{normal(s)}>" for s in SENTENCES.values() if len(parts := re.split(ENDS, s)) > 1}
 assert len(KNOWN) == len(SENTENCES) and all(any(a in s for a in ANCHORS) for s in KNOWN)
 
 
@@ -82,13 +84,18 @@ def _ids(text: Column) -> Column:
     known = F.create_map(*(F.lit(x) for pair in KNOWN.items() for x in pair))
     sentences = F.split(F.regexp_replace(F.concat(text, F.lit("\n")), ENDS, "\n"), "\n", -1)
     sentences = F.transform(sentences, lambda s: F.trim(F.regexp_replace(F.translate(s, UPPER, LOWER), OTHER, " "), F.lit(" ")))
+    marked = F.concat(F.lit("<"), F.array_join(sentences, "><"), F.lit(">"))
+    for parts, whole in PARTED.items():
+        marked = F.replace(marked, F.lit(parts), F.lit(whole))
+    sentences = F.split(F.trim(marked, F.lit("<>")), "><", -1)
     return F.filter(F.transform(sentences, lambda s: F.try_element_at(known, s)), lambda x: x.isNotNull())
 
 
 def scan_licenses(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """docs with sentence_ids (array of the known sentences' ids, in order), licenses (array, by order of the rules) and n_matches.
 
-    A sentence ends at a line end or at a mark before white space. Wrapped
+    A sentence ends at a line end or at a mark before white space; known
+    sentences with such a mark inside are put together again. Wrapped
     notices are read too: the text is also split with single line ends taken
     as spaces, and the reading that knows more sentences holds, that by lines
     on a tie. Null and empty texts have no sentences and empty arrays. All

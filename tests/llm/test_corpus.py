@@ -417,6 +417,20 @@ def test_licence_rules(spark, docs, rows):
     assert licenses.scan_licenses(docs).count() == len(rows) and licenses.scan_licenses(docs.where("false")).count() == 0
 
 
+def test_every_known_sentence_and_every_rule_is_found(spark):
+    s = {k: x if x[-1] in ".;:" else f"{x}." for k, x in licenses.SENTENCES.items()}
+    for gap in ("\n", " "):
+        texts = {i: gap.join(["Hello.", *(s[p] for p in parts), "Bye."]) for i, (_, parts) in enumerate(licenses.RULES)}
+        got = {r.doc_id: (list(r.licenses), r.n_matches) for r in licenses.scan_licenses(spark.createDataFrame(list(texts.items()), "doc_id long, text string")).collect()}
+        assert got == {i: ([name], 1) for i, (name, _) in enumerate(licenses.RULES)}
+        texts = [(k, f"Hello.{gap}{x}{gap}Bye.") for k, x in s.items()]
+        got = {r.doc_id: list(r.sentence_ids) for r in licenses.scan_licenses(spark.createDataFrame(texts, "doc_id string, text string")).collect()}
+        assert got == {k: [k] for k in s}
+    odd = [f"{s['mit-name']}\n{s['mit-name']}\n", "SPDX-License-Identifier: ISC\nLicense\nMIT", f"This program is free software: {s['mit-ref']}"]
+    got = {r.doc_id: (list(r.licenses), r.n_matches) for r in licenses.scan_licenses(spark.createDataFrame(list(enumerate(odd)), "doc_id long, text string")).collect()}
+    assert got == {0: (["MIT"], 2), 1: ([], 0), 2: (["MIT"], 1)}
+
+
 # archives
 
 
