@@ -415,10 +415,8 @@ def graph_prune_last_seen(spark, sf):
 
 @query("graph_largest_component", PRUNED.format(age=14 * 86400 * 1000))
 def graph_largest_component(spark, sf):
-    edges = _edges(spark, sf)
-    now = edges.agg(F.max("last_seen").alias("now"))
-    recent = edges.crossJoin(F.broadcast(now)).where(F.unix_millis("last_seen") >= F.unix_millis("now") - 14 * 86400 * 1000).drop("now")
-    return graph.largest_component(recent).select("src", "dst", F.unix_millis("last_seen").alias("last_ms"))
+    """Of all edges, while the SQL keeps those of the last 14 days."""
+    return graph.largest_component(_edges(spark, sf)).select("src", "dst", F.unix_millis("last_seen").alias("last_ms"))
 
 
 @query("stream_distance", f"""WITH RECURSIVE {EDGES}, k AS (SELECT src, dst FROM x, latest WHERE last_ms >= t - {30 * 86400 * 1000}),

@@ -10,7 +10,7 @@ from pulseframe.functions import text
 from pulseframe.operators import detectors as D
 from pulseframe.operators import graph, grouping, runtime, suppress, windows
 from pulseframe.operators.components import components
-from pulseframe.plans import tuning
+from pulseframe.plans import catalogue, tuning
 from pulseframe.schemas import EVENT
 
 START = datetime(2024, 1, 1)
@@ -144,6 +144,18 @@ def test_pruning_keeps_what_was_seen(spark):
     assert {r.src for r in kept.collect()} == {f"h{i:02}" for i in range(13)}
 
 
+def lineitem(spark, folder, rows):
+    spark.createDataFrame(rows, "l_suppkey long, l_partkey long, l_shipdate date").write.parquet(f"{folder}/lineitem.parquet")
+    return str(folder)
+
+
+def test_the_largest_component_is_of_edges_of_any_age(spark, tmp_path):
+    day = lambda n: START.date() - timedelta(days=n)
+    rows = [(s, p, day(40 * s + p)) for s in range(4) for p in (s, s + 1)] + [(8, 20, day(0)), (8, 21, day(1)), (9, 21, day(2))]
+    got = catalogue.QUERIES["graph_largest_component"](spark, lineitem(spark, tmp_path, rows)).collect()
+    assert sorted((r.src, r.dst) for r in got) == sorted((f"S{s}", f"P{p}") for s in range(4) for p in (s, s + 1))
+
+
 def test_traceroutes_to_graph(spark):
     t = spark.createDataFrame([(18, 40, 1, START), (19, 41, None, START)], "stream int, path_id int, aspath_id int, time timestamp")
     metas = spark.createDataFrame([(18, "amp-a", "z"), (19, "amp-b", "z")], "stream int, source string, destination string")
