@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from itertools import count
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -143,23 +145,25 @@ def parallel_anonymous(edges: DataFrame, anonymous: DataFrame, longest: int = 64
     return resolve_aliases(same)
 
 
-def hop_distances(edges: DataFrame, origins: DataFrame, most: int = 32) -> DataFrame:
-    """(origin, node, hops) of undirected shortest paths from origins (uid), up to ``most`` hops: one join a hop, over what the last hop reached."""
+def hop_distances(edges: DataFrame, origins: DataFrame, most: int | None = None) -> DataFrame:
+    """(origin, node, hops) of undirected shortest paths from origins (uid), if given up to ``most`` hops: one join a hop, over what the last hop reached."""
     checkpoint_folder(edges.sparkSession)
     pairs = edges.select(F.col("src").alias("a"), F.col("dst").alias("b"))
     pairs = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
     seen = origins.select(F.col("uid").alias("origin"), F.col("uid").alias("node")).distinct().withColumn("hops", F.lit(0)).checkpoint()
     front = seen
-    for hop in range(1, most + 1):
+    for hop in count(1) if most is None else range(1, most + 1):
         front = front.join(pairs, F.col("node") == F.col("a")).select("origin", F.col("b").alias("node")).distinct().join(seen.select("origin", "node"), ["origin", "node"], "left_anti").withColumn("hops", F.lit(hop)).checkpoint()
         if front.isEmpty():
             break
         seen = seen.unionByName(front)
+        if hop % 16 == 0:  # else the plan grows with each hop
+            seen = seen.checkpoint()
     return seen
 
 
-def stream_distances(edges: DataFrame, metas: DataFrame, most: int = 32, documented: bool = False) -> DataFrame:
-    """(a, b, distance) of all pairs of streams (stream, source, destination) that are connected.
+def stream_distances(edges: DataFrame, metas: DataFrame, most: int | None = None, documented: bool = False) -> DataFrame:
+    """(a, b, distance) of all pairs of streams (stream, source, destination) that are connected, if given by at most ``most`` hops.
 
     The distance is that of the sources, twice, as it is known to work; with
     ``documented`` that of the sources and that of the destinations. The

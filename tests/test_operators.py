@@ -172,6 +172,14 @@ def test_traceroutes_to_graph(spark):
     assert lines[0].line.startswith("strict digraph") and lines[-1].line == "}" and any("shape=box" in r.line for r in lines)
 
 
+def test_distances_of_a_long_chain(spark):
+    edges = edge_rows(spark, [(f"h{i:02}", f"h{i + 1:02}") for i in range(36)])
+    metas = spark.createDataFrame([(1, "h00", "h01"), (2, "h36", "h35")], "stream int, source string, destination string")
+    got = lambda **x: {(r.a, r.b): r.distance for r in graph.stream_distances(edges, metas, **x).collect()}
+    assert got() == {(1, 2): 72.0, (2, 1): 72.0} and got(most=32) == {}
+    assert got(documented=True) == {(1, 2): 70.0, (2, 1): 70.0}
+
+
 def test_aliases_and_nodes(spark):
     pairs = spark.createDataFrame([("b", "a"), ("c", "b")], "a string, b string")
     assert dict(graph.resolve_aliases(pairs).collect()) == {"a": "a", "b": "a", "c": "a"}
