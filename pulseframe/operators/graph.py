@@ -145,18 +145,26 @@ def parallel_anonymous(edges: DataFrame, anonymous: DataFrame, longest: int = 64
     return resolve_aliases(same)
 
 
-def hop_distances(edges: DataFrame, origins: DataFrame, most: int | None = None) -> DataFrame:
-    """(origin, node, hops) of undirected shortest paths from origins (uid), if given up to ``most`` hops: one join a hop, over what the last hop reached."""
+def hop_distances(edges: DataFrame, origins: DataFrame, most: int | None = None, ends: DataFrame | None = None) -> DataFrame:
+    """(origin, node, hops) of undirected shortest paths from origins (uid), if given up to ``most`` hops: one join a hop, over what the last hop reached.
+
+    With ``ends`` (uid) only the paths to these are whole: the search is over
+    once each origin has reached all of them, or nothing new is reached.
+    """
     checkpoint_folder(edges.sparkSession)
     pairs = edges.select(F.col("src").alias("a"), F.col("dst").alias("b"))
     pairs = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
     seen = origins.select(F.col("uid").alias("origin"), F.col("uid").alias("node")).distinct().withColumn("hops", F.lit(0)).checkpoint()
     front = seen
+    ends = None if ends is None else ends.select(F.col("uid").alias("node")).distinct()
+    pairs_wanted = None if ends is None else seen.count() * ends.count()
     for hop in count(1) if most is None else range(1, most + 1):
         front = front.join(pairs, F.col("node") == F.col("a")).select("origin", F.col("b").alias("node")).distinct().join(seen.select("origin", "node"), ["origin", "node"], "left_anti").withColumn("hops", F.lit(hop)).checkpoint()
         if front.isEmpty():
             break
         seen = seen.unionByName(front)
+        if ends is not None and seen.join(ends, "node", "left_semi").count() == pairs_wanted:
+            break
         if hop % 16 == 0:  # else the plan grows with each hop
             seen = seen.checkpoint()
     return seen
@@ -170,7 +178,7 @@ def stream_distances(edges: DataFrame, metas: DataFrame, most: int | None = None
     pairs are those of the streams, whose number metadata bounds.
     """
     names = metas.select(F.col("source").alias("uid")).unionByName(metas.select(F.col("destination").alias("uid"))).distinct()
-    hops = hop_distances(edges, names, most).join(names.select(F.col("uid").alias("node")), "node", "left_semi")
+    hops = hop_distances(edges, names, most, names).join(names.select(F.col("uid").alias("node")), "node", "left_semi")
     a = metas.select(F.col("stream").alias("a"), F.col("source").alias("sa"), F.col("destination").alias("da"))
     b = metas.select(F.col("stream").alias("b"), F.col("source").alias("sb"), F.col("destination").alias("db"))
     near = a.join(hops, F.col("sa") == F.col("origin")).select("a", "da", F.col("node").alias("sb"), F.col("hops").alias("first")).join(b, "sb").where("a <> b")

@@ -156,6 +156,13 @@ def test_the_largest_component_is_of_edges_of_any_age(spark, tmp_path):
     assert sorted((r.src, r.dst) for r in got) == sorted((f"S{s}", f"P{p}") for s in range(4) for p in (s, s + 1))
 
 
+def test_distances_by_edges_of_any_age_and_any_number_of_hops(spark, tmp_path):
+    rows = [(s, p, START.date() - timedelta(days=40 * s)) for s in range(5) for p in (s, s + 1)] + [(8, 20, START.date()), (9, 20, START.date())]
+    got = {(r.a, r.b): r.distance for r in catalogue.QUERIES["stream_distance"](spark, lineitem(spark, tmp_path, rows)).collect()}
+    want = {(f"S{a}", f"S{b}"): 4.0 * abs(a - b) for a in range(5) for b in range(5) if a != b}
+    assert got == want | {("S8", "S9"): 4.0, ("S9", "S8"): 4.0}
+
+
 def test_traceroutes_to_graph(spark):
     t = spark.createDataFrame([(18, 40, 1, START), (19, 41, None, START)], "stream int, path_id int, aspath_id int, time timestamp")
     metas = spark.createDataFrame([(18, "amp-a", "z"), (19, "amp-b", "z")], "stream int, source string, destination string")
