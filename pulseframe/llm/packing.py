@@ -2,14 +2,17 @@
 
 Hierarchical multi-length packing. A document is tokenised and cut into whole
 windows of the largest tier; what is left is routed to the smallest tier that
-holds it. Every tier is packed best fit decreasing. What a longer window still
-lacks is filled from shorter tiers, the last filler being cut to fit; sequences
-are then dealt into step groups of near equal load.
+holds it. Every tier is packed best fit decreasing, into windows of its own
+length. What a longer window still lacks is filled from shorter tiers, the last
+filler being cut to fit; sequences are then dealt into step groups of near
+equal load and mix of tiers.
 """
 
 from __future__ import annotations
 
+from bisect import bisect_right, insort
 from collections.abc import Iterator
+from operator import itemgetter
 
 import numpy as np
 import pyarrow as pa
@@ -17,6 +20,7 @@ from pyspark.sql import DataFrame
 
 #: Window lengths, in tokens.
 TIERS = (512, 1024, 2048, 4096)
+LENGTH = itemgetter(2)
 
 
 class Tokens:
@@ -69,8 +73,8 @@ class Tokens:
 def pack_lengths(lengths: list[int], tiers: tuple[int, ...] = TIERS) -> list[list[tuple[int, int, int]]]:
     """Sequences as lists of pieces (document, start, length) that hold each token of each document once.
 
-    Every sequence but the last few is exactly full at the largest tier; the
-    rest, under one window, is cut at powers of two, so nothing is padded.
+    Every sequence but the last few is exactly full at its tier; the rest,
+    under one window, is cut at powers of two, so nothing is padded.
     """
     window = tiers[-1]
     out: list[list[tuple[int, int, int]]] = []
@@ -80,49 +84,40 @@ def pack_lengths(lengths: list[int], tiers: tuple[int, ...] = TIERS) -> list[lis
         out += [[(d, s, window)] for s in range(0, whole, window)]
         if n > whole:
             shelves[next(t for t in tiers if t >= n - whole)].append((d, whole, n - whole))
-    # each tier by itself, the largest pieces first: open windows by the room that is left
     for pieces in shelves.values():
         pieces.sort(key=lambda p: (p[2], -p[0]))  # taken from the end
-    open_windows = []
     for t in reversed(tiers):
         pieces = shelves[t]
+        # gaps are filled from the same tier, then from the shorter ones, each time with the largest that fits
+        near = [shelves[x] for x in reversed(tiers) if x <= t]
         while pieces:
-            seq, room = [pieces.pop()], 0
-            room = window - seq[0][2]
-            # gaps are filled from the same tier, then from the shorter ones, each time with the largest that fits
-            for s in reversed([x for x in tiers if x <= t]):
-                shelf = shelves[s]
-                while shelf and room:
-                    at = _largest(shelf, room)
-                    if at < 0:
-                        break
-                    seq.append(shelf.pop(at))
+            seq = [pieces.pop()]
+            room = t - seq[0][2]
+            for shelf in near:
+                while shelf and room and (at := bisect_right(shelf, room, key=LENGTH)):
+                    seq.append(shelf.pop(at - 1))
                     room -= seq[-1][2]
+            # all that is left there is longer than the room: the shortest of the lowest shelf is cut
+            shelf = next((x for x in reversed(near) if x), None)
+            if room and shelf is None:
+                out += _cut_at_powers(seq)
+                continue
             if room:
-                open_windows.append((room, seq))
-            else:
-                out.append(seq)
-    # what is still missing somewhere is cut from the emptiest windows
-    open_windows.sort(key=lambda x: x[0])
-    spare = [p for _, seq in open_windows for p in seq]
-    total = sum(p[2] for p in spare)
-    full, at, used = total // window, 0, 0
-    for k in range(full):
-        seq, room = [], window
-        while room:
-            d, s, n = spare[at]
-            take = min(room, n - used)
-            seq.append((d, s + used, take))
-            room, used = room - take, used + take
-            if used == n:
-                at, used = at + 1, 0
-        out.append(seq)
-    rest = total - full * window
+                d, s, n = shelf.pop(bisect_right(shelf, room, key=LENGTH))
+                seq.append((d, s, room))
+                insort(shelves[next(x for x in tiers if x >= n - room)], (d, s + room, n - room), key=LENGTH)
+            out.append(seq)
+    return out
+
+
+def _cut_at_powers(pieces: list[tuple[int, int, int]]) -> list[list[tuple[int, int, int]]]:
+    """The pieces one after another, as sequences of falling powers of two."""
+    out, rest, at, used = [], sum(p[2] for p in pieces), 0, 0
     while rest:
         room = 1 << (rest.bit_length() - 1)
         rest, seq = rest - room, []
         while room:
-            d, s, n = spare[at]
+            d, s, n = pieces[at]
             take = min(room, n - used)
             seq.append((d, s + used, take))
             room, used = room - take, used + take
@@ -132,25 +127,20 @@ def pack_lengths(lengths: list[int], tiers: tuple[int, ...] = TIERS) -> list[lis
     return out
 
 
-def _largest(shelf: list[tuple[int, int, int]], room: int) -> int:
-    """Where the largest piece of at most ``room`` is in a shelf sorted by length, or -1."""
-    lo, hi = 0, len(shelf)
-    while lo < hi:
-        mid = (lo + hi) // 2
-        if shelf[mid][2] <= room:
-            lo = mid + 1
-        else:
-            hi = mid
-    return lo - 1
-
+def step_groups(loads: list[int], size: int, tiers: list[int] | None = None) -> list[int]:
+    """The group of each sequence: groups of ``size`` sequences with near equal sums of load and, if ``tiers`` has each sequence's, as many of each tier but for two.
 
-def step_groups(loads: list[int], size: int) -> list[int]:
-    """The group of each sequence: groups of ``size`` sequences with near equal sums of load, dealt in turns, largest first."""
+    In turns, largest first, each group takes one sequence: the larger the load, the less the group has.
+    """
     groups = max(1, -(-len(loads) // size))
-    out = [0] * len(loads)
-    for i, at in enumerate(sorted(range(len(loads)), key=lambda k: (-loads[k], k))):
-        turn, place = divmod(i, groups)
-        out[at] = place if turn % 2 == 0 else groups - 1 - place
+    out, sums = [0] * len(loads), [0] * groups
+    tiers = tiers or [0] * len(loads)
+    order = sorted(range(len(loads)), key=lambda k: (-tiers[k], -loads[k], k))
+    for at in range(0, len(order), groups):
+        turn = sorted(order[at : at + groups], key=lambda k: (-loads[k], k))
+        for k, place in zip(turn, sorted(range(groups), key=sums.__getitem__), strict=False):
+            out[k] = place
+            sums[place] += loads[k]
     return out
 
 
@@ -186,7 +176,7 @@ def pack(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str
             nonlocal first, group
             sequences = pack_lengths([len(x) // 4 for x in texts], tiers)
             lengths = [sum(p[2] for p in seq) for seq in sequences]
-            groups = step_groups([sum(p[2] ** 2 for p in seq) for seq in sequences], group_size)
+            groups = step_groups([sum(p[2] ** 2 for p in seq) for seq in sequences], group_size, lengths)
             keys = pa.array([x.as_py() for x in ids], kind)
             of, rows = [], []
             for k, seq in enumerate(sequences):

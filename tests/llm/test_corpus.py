@@ -302,6 +302,25 @@ def test_packing_is_whole_and_tight(docs, rows, spark):
     assert packing.pack(docs.where("false"), path).count() == 0
 
 
+def test_each_tier_is_packed_into_its_own_windows():
+    count = lambda seqs: collections.Counter(sum(p[2] for p in seq) for seq in seqs)
+    assert count(packing.pack_lengths([300] * 512)) == {512: 300}
+    assert count(packing.pack_lengths([512, 1024, 2048, 4096] * 3)) == {512: 3, 1024: 3, 2048: 3, 4096: 3}
+    assert sorted(map(sorted, packing.pack_lengths([1900, 148, 512]))) == [[(0, 0, 1900), (1, 0, 148)], [(2, 0, 512)]]
+    r = random.Random(2)
+    for most in (40, 600, 3000, 20_000):
+        lengths = [r.randint(1, most) for _ in range(700)]
+        seqs = packing.pack_lengths(lengths)
+        assert sorted((d, s + i) for seq in seqs for d, s, n in seq for i in range(n)) == [(d, i) for d, n in enumerate(lengths) for i in range(n)]
+        sizes = [sum(p[2] for p in seq) for seq in seqs]
+        assert all(n & (n - 1) == 0 and n <= 4096 for n in sizes) and sum(n for n in sizes if n < 512) < 512
+        groups = packing.step_groups([sum(p[2] ** 2 for p in seq) for seq in seqs], 16, sizes)
+        for t in packing.TIERS:
+            held = collections.Counter(g for g, n in zip(groups, sizes, strict=True) if n == t)
+            each = [held[g] for g in range(max(groups) + 1)]
+            assert max(each) - min(each) <= 2
+
+
 def test_cached_tokens_are_the_tokenizers():
     from tokenizers import Tokenizer
 
