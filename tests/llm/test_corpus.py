@@ -325,14 +325,56 @@ def test_cached_tokens_are_the_tokenizers():
     from tokenizers import Tokenizer
 
     path = queries.tokenizer_path()
-    plain, cached = Tokenizer.from_file(path), packing.Tokens(path, most=50)
+    plain, cached = Tokenizer.from_file(path), packing.Tokens(path, most_bytes=20_000)
     r = random.Random(4)
-    parts = ["it's", "I'LL", "Ünï", "é", "ΣΑΣ", "İ", "12", "a.b", "...", "<|endoftext|>", "\x85", "\xa0", " ", "中文", "Word.", "ẞ", "µ", "ª", "x\x0by", "😀", "ß?"]
-    for _ in range(400):
+    parts = ["it's", "I'LL", "Ünï", "é", "ΣΑΣ", "İ", "12", "a.b", "...", "<|endoftext|>", "\x85", "\xa0", " ", "中文", "Word.", "ẞ", "µ", "ª", "x\x0by", "😀", "ß?", "it&'", "été,'s", "été,'", "ok%%%", "a_b", "__", "<|>", "<|ENDOFTEXT|>", "Ça!!"]
+    for _ in range(1500):
         x = "".join(r.choice(parts) + r.choice(["", " ", "\n", "\t ", ","]) for _ in range(r.randint(0, 12)))
         assert np.frombuffer(cached.ids(x), "<u4").tolist() == plain.encode(x, add_special_tokens=False).ids, x
 
 
+def test_other_tokenizers_encode_plainly(tmp_path):
+    from tokenizers import Tokenizer
+
+    path = queries.tokenizer_path("byte_bpe_50k.json")
+    plain, ours = Tokenizer.from_file(path), packing.Tokens(path)
+    assert not ours.chunked and packing.Tokens(queries.tokenizer_path()).chunked
+    for x in ("Two  words\nand more", "", "É 12"):
+        assert np.frombuffer(ours.ids(x), "<u4").tolist() == plain.encode(x, add_special_tokens=False).ids
+
+
+def test_the_token_cache_is_bounded_in_bytes():
+    tokens = packing.Tokens(queries.tokenizer_path(), most_bytes=30_000)
+    for k in range(300):
+        tokens.ids(f"{'ab' * k}c {'中' * 5000}{k} word{'x' * (k % 50)}")
+    assert sum(200 + len(k) + len(v) for d in (tokens, tokens._before) for k, v in d.items()) < 70_000
+    assert max(map(len, tokens)) <= 200
+
+
+def test_blocks_carry_what_they_leave_to_the_next(docs, rows):
+    path = queries.tokenizer_path()
+    got = packing.pack(docs.coalesce(1), path, block_tokens=3000).collect()
+    tiers = {r.sequence_id: r.tier for r in got}
+    assert sum(t < 512 for t in tiers.values()) <= 9 and sum(r.length for r in got) == sum(tiers.values())
+    ends = collections.Counter(r.doc_id for r in got if r.start + r.length == r.doc_tokens)
+    assert ends == collections.Counter(r[0] for r in rows)
+
+
+def test_the_packing_query(spark, tmp_path, rows):
+    from tokenizers import Tokenizer
+
+    spark.createDataFrame(rows, SCHEMA).write.parquet(f"{tmp_path}/documents.parquet")
+    t, whole = Tokenizer.from_file(queries.tokenizer_path()), collections.defaultdict(set)
+    for i, x, *_ in rows:
+        ids = [*t.encode(x or "", add_special_tokens=False).ids, 2]
+        whole[i, len(ids)].add(tuple(ids))
+    got = queries.op9_packing(spark, str(tmp_path)).collect()
+    for r in got:
+        cut = (x[r.start : r.start + r.length] for x in whole[r.doc_id, r.doc_tokens])
+        assert r.ids_crc32 in {zlib.crc32(np.asarray(x, "<u4").tobytes()) for x in cut}
+    assert sum(r.length for r in got) == sum(len(t.encode(x or "", add_special_tokens=False).ids) + 1 for _, x, *_ in rows)
+
+
 def test_step_groups_are_even():
     loads = [r * r % 97 for r in range(200)]
     groups = packing.step_groups(loads, 10)
