@@ -167,3 +167,9 @@ SUMMARY_NAMES = {"aggregations": "aggregation", "averages": "average", "statisti
 
 def summary_type(c: Column) -> Column:
     return F.create_map(*(F.lit(x) for kv in SUMMARY_NAMES.items() for x in kv))[c]
+
+
+def utc_timestamp(c: Column, pattern: str) -> Column:
+    """A time written without its zone, taken as UTC whatever the session's zone is."""
+    ms = F.timestamp_diff("MILLISECOND", F.to_timestamp_ntz(F.lit("1970-01-01 00:00:00")), F.to_timestamp_ntz(c, F.lit(pattern)))
+    return F.timestamp_millis(ms)

@@ -2,42 +2,48 @@
 
 from __future__ import annotations
 
-import tempfile
-
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from pulseframe.operators.scratch import Scratch, checkpoint_folder
+
+__all__ = ["checkpoint_folder", "components"]
 
-def checkpoint_folder(spark: SparkSession) -> str:
-    """The session's shared checkpoint folder; only where it is unset (local tests) a temporary one is made."""
-    context = spark.sparkContext
-    if not context._jsc.sc().getCheckpointDir().isDefined():
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="pulseframe-"))
-    return context._jsc.sc().getCheckpointDir().get()
 
+def _nearest(edges: DataFrame) -> DataFrame:
+    """Of each u the smallest v."""
+    return edges.groupBy("u").agg(F.min("v").alias("m"))
 
-def components(edges: DataFrame, rounds: int = 40) -> DataFrame:
+
+def components(edges: DataFrame) -> DataFrame:
     """Of edges (u, v): rows (node, component), the component being its smallest node. Nodes are of any type that has an order.
 
-    Alternating large-star and small-star steps; the edges of each round are
-    checkpointed to the shared folder, so a lost executor costs one round.
-    Nodes without edges have no row. An empty table gives an empty table.
+    Alternating large-star and small-star steps until nothing changes. The
+    edges of each round are written to the shared folder, so a lost executor
+    costs one round; the rounds before the last are dropped. What a node's
+    neighbours are aggregated to is written too before it is joined with
+    them: so both sides are dealt for the join alone, and Spark can split a
+    node that very many edges meet in.
+
+    Edges with a null end, and those from a node to itself, are left out;
+    nodes without edges have no row. Repeated edges count once. An empty
+    table gives an empty table.
     """
-    checkpoint_folder(edges.sparkSession)
-    edges = edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct().checkpoint()
-    state = None
-    for _ in range(rounds):
+    tables = Scratch(edges.sparkSession)
+    edges = edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
+    edges, state = tables.written(edges, "edges"), None
+    while True:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        least = tables.written(_nearest(both).select("u", F.least("u", "m").alias("m")), "nearest")
         large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        large = large.where("u <> v").distinct()
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
+        large = tables.written(large.where("u <> v").distinct(), "large-stars")
+        least = tables.written(_nearest(large), "nearest")
         small = large.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        edges = small.unionByName(least.select("u", F.col("m").alias("v"))).where("u <> v").distinct().checkpoint()
+        edges = tables.written(small.unionByName(least.select("u", F.col("m").alias("v"))).where("u <> v").distinct(), "edges")
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
+        tables.drop(edges)
         if now == state:
             # settled edges are stars: each node points to the smallest of its component
             stars = edges.select(F.col("u").alias("node"), F.col("v").alias("component"))
             return stars.unionByName(stars.select(F.col("component").alias("node"), "component").distinct())
         state = now
-    raise RuntimeError("components have not settled")

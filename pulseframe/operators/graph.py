@@ -8,7 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pulseframe.functions.text import as_category, ipv4_number, zip_hops
-from pulseframe.operators.components import checkpoint_folder, components
+from pulseframe.operators.components import components
+from pulseframe.operators.scratch import checkpoint_folder, written
 
 
 def traceroute_paths(traceroutes: DataFrame, metas: DataFrame, paths: DataFrame, as_paths: DataFrame) -> DataFrame:
@@ -68,7 +69,8 @@ def relabel(edges: DataFrame, aliases: DataFrame) -> DataFrame:
 
 
 def largest_component(edges: DataFrame) -> DataFrame:
-    """The edges of the largest weakly connected component; of equals, that with the smallest vertex."""
+    """The edges of the largest weakly connected component; of equals, that with the smallest vertex. The edges are written once, since they are read twice."""
+    edges = written(edges, "edges")
     parts = components(edges.select(F.col("src").alias("u"), F.col("dst").alias("v")))
     sizes = parts.groupBy("component").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "component").limit(1)
     inside = parts.join(F.broadcast(sizes.select("component")), "component").select(F.col("node").alias("src"))
@@ -102,16 +104,17 @@ def node_of_ip(ips: DataFrame, nodes: DataFrame) -> DataFrame:
     return ips.join(nodes, "ip", "left").orderBy(ipv4_number(F.col("ip")))
 
 
-def parallel_anonymous(edges: DataFrame, anonymous: DataFrame, longest: int = 64) -> DataFrame:
+def parallel_anonymous(edges: DataFrame, anonymous: DataFrame) -> DataFrame:
     """Aliases (uid, canonical) of anonymous hosts that take the same place on parallel paths.
 
     From each named vertex with several parents, each parent's only-parent
-    chain is followed up to the first vertex with several children, at most
-    ``longest`` steps. All paths down from there, up to three longer than the
-    chain, whose inner vertices are all anonymous are grouped by length, start
-    and end; in groups of several, the vertices at each place are one. Paths
-    grow by one join a step and only through anonymous vertices, so their
-    number follows the branching there.
+    chain is followed up to the first vertex with several children, however
+    far; vertices of one parent and one child can't form a circle above
+    another vertex, so the walk ends. All paths down from there, up to three
+    longer than the chain, whose inner vertices are all anonymous are grouped
+    by length, start and end; in groups of several, the vertices at each place
+    are one. Paths grow by one join a step and only through anonymous
+    vertices, so their number follows the branching there.
     """
     checkpoint_folder(edges.sparkSession)
     pairs = edges.select("src", "dst").distinct()
@@ -121,13 +124,15 @@ def parallel_anonymous(edges: DataFrame, anonymous: DataFrame, longest: int = 64
     named = in_degree.where(F.col("in") > 1).join(hidden, "v", "left_anti").select(F.col("v").alias("target"))
     walk = pairs.join(named, F.col("dst") == F.col("target")).select("target", F.col("src").alias("v"), F.lit(0).alias("depth"))
     found = None
-    for _ in range(longest):
+    for step in count(1):
         here = walk.join(out_degree, "v", "left").join(in_degree, "v", "left").checkpoint()
         stop = here.where(F.col("out") > 1).select("target", F.col("v").alias("start"), "depth")
         found = stop if found is None else found.unionByName(stop)
         walk = here.where((F.coalesce("out", F.lit(0)) <= 1) & (F.col("in") == 1)).select("target", F.col("parent").alias("v"), (F.col("depth") + 1).alias("depth"))
         if walk.isEmpty():
             break
+        if step % 16 == 0:  # else the plan grows with each step
+            found = found.checkpoint()
     ancestors = found.groupBy("target", "start").agg((F.max("depth") + 3).alias("most")).checkpoint()
     grow = ancestors.select("target", "most", "start", F.array("start").alias("path"), F.col("start").alias("end"))
     done = None

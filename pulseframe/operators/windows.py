@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pulseframe.functions.severity import severity_col
+from pulseframe.operators.scratch import written
 from pulseframe.schemas import EVENT_COLUMNS
 
 ORDER = ("time", "seq")
@@ -78,11 +79,42 @@ def loss_events(df: DataFrame, max_history: int = 30, loss_count: int = 10, cons
     return runs.unionByName(ratio)
 
 
-def tumbling_metrics(df: DataFrame, width: str = "1 hour", percent: int = 90) -> DataFrame:
-    """Of each window: first and last time, mean, upper median, value at ceil((n - 1) * percent / 100), count. Over all streams, as one."""
-    rows = df.where("value is not null").groupBy(F.window("time", width).alias("w")).agg(F.min("time").alias("min_time"), F.max("time").alias("max_time"), F.avg("value").alias("mean"), F.array_sort(F.collect_list("value")).alias("v"), F.count("*").alias("n"))
-    at = F.ceil((F.col("n") - 1) * percent / 100).cast("int") + 1
-    return rows.select(F.col("w.start").alias("window_start"), "min_time", "max_time", "mean", F.element_at("v", (F.floor(F.col("n") / 2) + 1).cast("int")).alias("median"), F.element_at("v", at).alias(f"p{percent}"), "n")
+def tumbling_metrics(df: DataFrame, width: str = "1 hour", percent: int = 90, accuracy: int = 10_000) -> DataFrame:
+    """Of each window: first and last time, mean, upper median, value at ceil((n - 1) * percent / 100), count. Over all streams, as one.
+
+    The two values are exact, and no task holds a window's values: a sketch
+    bounds each rank to about 8 / ``accuracy`` of the window, what lies below
+    is counted, and only the distinct values between the bounds are put in
+    order.
+    """
+    rows = df.where("value is not null").select(F.window("time", width)["start"].alias("window_start"), "time", "value")
+    near = lambda p, way: min(1.0, max(0.0, p + way * 3 / accuracy))
+    ends = [near(p, way) for p in (0.5, percent / 100) for way in (-1, 1)]
+    per = rows.groupBy("window_start").agg(
+        F.min("time").alias("min_time"), F.max("time").alias("max_time"), F.avg("value").alias("mean"),
+        F.count("*").alias("n"), F.percentile_approx("value", ends, accuracy).alias("_ends"),
+    )
+    n = F.col("n")
+    ranks = {"median": F.floor(n / 2), f"p{percent}": F.ceil((n - 1) * percent / 100)}
+    # in small windows the upper median may lie past the sketch's bound by one rank
+    few = n <= accuracy
+    for i, (name, rank) in enumerate(ranks.items()):
+        per = per.withColumns({
+            f"_{name}": rank.cast("long"),
+            f"_{name}_low": F.when(few, F.lit(float("-inf"))).otherwise(F.col("_ends")[2 * i]),
+            f"_{name}_high": F.when(few, F.lit(float("inf"))).otherwise(F.col("_ends")[2 * i + 1]),
+        })
+    per = written(per.drop("_ends"), "windows")
+    counts = rows.groupBy("window_start", "value").agg(F.count("*").alias("_c")).join(per.drop("mean", "min_time", "max_time"), "window_start")
+    out = per
+    for name in ranks:
+        low, high = F.col(f"_{name}_low"), F.col(f"_{name}_high")
+        below = counts.groupBy("window_start").agg(F.sum(F.when(F.col("value") < low, F.col("_c")).otherwise(0)).alias("_below"))
+        order = Window.partitionBy("window_start").orderBy("value").rowsBetween(Window.unboundedPreceding, 0)
+        upto = counts.where(F.col("value").between(low, high)).withColumn("_upto", F.sum("_c").over(order))
+        found = upto.join(below, "window_start").where(F.col("_below") + F.col("_upto") > F.col(f"_{name}"))
+        out = out.join(found.groupBy("window_start").agg(F.min("value").alias(name)), "window_start")
+    return out.select("window_start", "min_time", "max_time", "mean", *ranks, "n")
 
 
 def count_windows(df: DataFrame, size: int, slide: int) -> DataFrame:
@@ -121,7 +153,7 @@ def zip_rows(left: DataFrame, right: DataFrame, order_left: list[str], order_rig
 
     def numbered(df: DataFrame, order: list[str]) -> DataFrame:
         rows = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_part", F.spark_partition_id()).withColumn("_at", F.monotonically_increasing_id())
-        rows = rows.checkpoint() if df.sparkSession.sparkContext._jsc.sc().getCheckpointDir().isDefined() else rows.persist()
+        rows = written(rows, "numbered")
         sizes = rows.groupBy("_part").agg(F.count("*").alias("_n"), F.min("_at").alias("_first"))
         sizes = sizes.withColumn("_start", F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("_n")
         return rows.join(sizes, "_part").withColumn("position", F.col("_start") + F.col("_at") - F.col("_first")).drop("_part", "_at", "_first", "_start")

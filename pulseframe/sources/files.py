@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from pulseframe.functions.text import utc_timestamp
 from pulseframe.sources.datatypes import Datatype, of_lines
 
 
@@ -45,7 +46,7 @@ def nab(raw: DataFrame) -> DataFrame:
     stream = F.concat_ws("/", F.element_at(parts, -2), F.element_at(parts, -1))
     rows = raw.where(~F.col("value").startswith("timestamp") & (F.trim("value") != ""))
     cell = F.when(F.size(p) == 2, p[1].cast("double")).otherwise(F.raise_error(F.concat(F.lit("not two cells: "), F.col("value"))))
-    return rows.select(stream.alias("stream"), F.to_timestamp(p[0], "yyyy-MM-dd HH:mm:ss").alias("time"), F.lit(0).cast("long").alias("seq"), cell.alias("value"), F.lit(False).alias("is_lossy"), F.lit("nab").alias("datatype"))
+    return rows.select(stream.alias("stream"), utc_timestamp(p[0], "yyyy-MM-dd HH:mm:ss").alias("time"), F.lit(0).cast("long").alias("seq"), cell.alias("value"), F.lit(False).alias("is_lossy"), F.lit("nab").alias("datatype"))
 
 
 def line_measurements(raw: DataFrame, kind: Datatype) -> DataFrame:
