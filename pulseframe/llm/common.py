@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pulseframe.operators.components import checkpoint_folder, components
+from pulseframe.operators.components import components
+from pulseframe.operators.scratch import Scratch, fresh, quoted, scratch, written
 
-__all__ = ["LOWER", "SPACES", "UPPER", "WORD", "ascii_lower", "components", "scratch", "table", "written"]
+__all__ = ["LOWER", "SPACES", "UPPER", "WORD", "Scratch", "ascii_lower", "components", "fresh", "kind_of", "quoted", "scratch", "table", "written"]
 
 #: The white space that separates words: space, \t, \n, \v, \f, \r.
 SPACES = " \t\n\x0b\x0c\r"
@@ -21,16 +20,9 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def scratch(spark: SparkSession, name: str) -> str:
-    """A fresh path in the session's shared checkpoint folder."""
-    return f"{checkpoint_folder(spark)}/{name}-{uuid.uuid4().hex}"
-
-
-def written(df: DataFrame, name: str) -> DataFrame:
-    """The rows of df, written once to the shared folder and read from there."""
-    path = scratch(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+def kind_of(df: DataFrame, column: str) -> str:
+    """A column's type, as a schema string has it."""
+    return df.schema[column].dataType.simpleString()
 
 
 def ascii_lower(c: Column) -> Column:

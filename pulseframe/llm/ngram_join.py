@@ -14,6 +14,7 @@ apart. A group of near copies thus costs about its size, not its square.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -22,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pulseframe.llm.common import components, written
+from pulseframe.llm.common import Scratch, components, fresh, kind_of, quoted
 
 _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
 CHUNKS = 64
@@ -149,7 +150,7 @@ def _sets(docs: DataFrame, words: int, share: int, classes) -> DataFrame:
                 flat = np.concatenate(prefixes) if prefixes else np.zeros(0, np.int64)
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(at, 500), pa.array(sizes, pa.int64()), pa.array(one, pa.int64()), pa.array(two, pa.int64()), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))], names=["id", "n", "one", "two", "prefix"])
 
-    return docs.select("id", "text").mapInArrow(run, "id long, n long, one long, two long, prefix array<long>")
+    return docs.select("id", "text").mapInArrow(run, f"id {kind_of(docs, 'id')}, n long, one long, two long, prefix array<long>")
 
 
 def _bits(ids: DataFrame, words: int = 1 << 16) -> DataFrame:
@@ -183,19 +184,51 @@ def _verified(pairs: DataFrame, docs: DataFrame, words: int, share: int) -> Data
     texts = docs.select("id", "text").withColumn("_w", words_of).join(F.broadcast(bits), F.col("_w") == F.col("_word")).where(F.expr("(shiftright(_set, cast(xxhash64(id) & 63 as int)) & 1) = 1")).select("id", "text")
     left, right = texts.withColumnsRenamed({"id": "u", "text": "a"}), texts.withColumnsRenamed({"id": "v", "text": "b"})
     both = pairs.join(left, "u").join(right, "v").select("u", "v", "a", "b")
-    return both.mapInArrow(run, "u long, v long").distinct()
+    kind = kind_of(docs, "id")
+    return both.mapInArrow(run, f"u {kind}, v {kind}").distinct()
 
 
-def _close(x: str, y: str, share: int):
-    """The filters for postings x and y (n: set size, pos: place in the prefix) of one n-gram, as a condition."""
+def _length_and_place(x: str, y: str, share: int):
+    """The length and positional filters for postings x and y (n: set size, pos: place in the prefix) of one n-gram, as a condition."""
     n, m, i, j = F.col(f"{x}.n"), F.col(f"{y}.n"), F.col(f"{x}.pos"), F.col(f"{y}.pos")
-    small, large = F.least(n, m), F.greatest(n, m)
-    length = 100 * small >= share * large
+    length = 100 * F.least(n, m) >= share * F.greatest(n, m)
     need = F.ceil(share * (n + m) / (100 + share) - 1e-9)  # rounding errs to the side of more pairs
-    place = 1 + F.least(n - i - 1, m - j - 1) >= need
-    # of the smaller set the even shorter index prefix is enough
-    within = F.when(n < m, i).when(m < n, j).otherwise(F.least(i, j)) <= small - F.ceil(2 * share * small / (100 + share) - 1e-9)
-    return length & place & within
+    return length & (1 + F.least(n - i - 1, m - j - 1) >= need)
+
+
+def _in_index_prefix(n, pos, share: int):
+    """Whether a posting lies in the shorter prefix that is enough for the smaller set of a pair."""
+    return pos <= n - F.ceil(2 * share * n / (100 + share) - 1e-9)
+
+
+def _led(rows: DataFrame, lead: DataFrame, share: int) -> DataFrame:
+    """Pairs of each posting with the leader of its n-gram."""
+    x, y = rows.alias("x"), lead.alias("y")
+    n, m, i, j = F.col("x.n"), F.col("y.n"), F.col("x.pos"), F.col("y.pos")
+    within = F.when(n <= m, _in_index_prefix(n, i, share)) | F.when(m <= n, _in_index_prefix(m, j, share))
+    apart = (F.col("x.id") != F.col("y.id")) & (F.col("x.part") != F.col("y.part"))
+    return x.join(y, (F.col("x.gram") == F.col("y.gram")) & apart & _length_and_place("x", "y", share) & F.coalesce(within, F.lit(False)))
+
+
+def _all_close(rows: DataFrame, share: int) -> DataFrame:
+    """Pairs of all postings of an n-gram that can belong to similar sets.
+
+    Of each pair the smaller set stands on the left, with its index prefix
+    alone, so an n-gram that many sets have far from their rare end gives no
+    pairs at all. Sets meet by n-gram and band of size: a partner is at most
+    one band larger.
+    """
+    if share < 100:
+        width = F.lit(1 / math.log(100 / share))
+        scale = F.log(F.col("n")) * width
+        bands = F.sequence(F.floor(scale), F.floor(scale + 1 + 1e-9))
+    else:
+        scale, bands = F.col("n"), F.array("n")
+    small = rows.where(_in_index_prefix(F.col("n"), F.col("pos"), share)).withColumn("band", F.explode(bands))
+    x, y = small.alias("x"), rows.withColumn("band", F.floor(scale)).alias("y")
+    order = (F.col("x.n") < F.col("y.n")) | (F.col("x.n") == F.col("y.n")) & (F.col("x.id") < F.col("y.id"))
+    met = (F.col("x.gram") == F.col("y.gram")) & (F.col("x.band") == F.col("y.band"))
+    return x.join(y, met & order & (F.col("x.part") != F.col("y.part")) & _length_and_place("x", "y", share))
 
 
 def link_components(docs: DataFrame, words: int = 5, share: int = 80, id_col: str = "doc_id", text_col: str = "text", bits: int = 20) -> DataFrame:
@@ -204,18 +237,25 @@ def link_components(docs: DataFrame, words: int = 5, share: int = 80, id_col: st
     Two documents link when 100 * intersection >= share * union of their sets
     of ``words``-word n-grams. Texts with fewer words are one n-gram of all
     their words; null, empty and wordless texts have none and link with
-    nothing. Null ids link with nothing and have a null component. Rows that
-    share an id count as one document. Empty tables give no rows; other
-    columns are not carried.
+    nothing. Ids are of any type that has an order. Null ids link with nothing
+    and have a null component. Rows that share an id count as one document.
+    A very long text is taken whole: its set and the texts of the pairs that
+    it may belong to are in one task's memory at a time. Empty tables give no
+    rows; other columns are not looked at and not carried.
+
+    The result is written to the shared folder; all that led to it is dropped.
     """
     spark = docs.sparkSession
-    docs = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+    tables = Scratch(spark)
+    written = tables.written
+    docs = docs.select(F.col(quoted(id_col)).alias("id"), F.col(quoted(text_col)).alias("text"))
     classes = spark.sparkContext.broadcast(frequency_classes(docs, words, bits))
     sets = written(_sets(docs, words, share, classes), "sets")
     # one class for each set, under its smallest id; empty sets and null ids stand alone
     reps = sets.where("n > 0 and id is not null").groupBy("one", "two", "n").agg(F.min("id").alias("rep"))
     members = reps.withColumnsRenamed({"one": "_one", "two": "_two", "n": "_n"})
-    known = sets.join(members, (F.col("id") == F.col("rep")) & (F.col("one") == F.col("_one")) & (F.col("two") == F.col("_two")), "left_semi").dropDuplicates(["id", "one", "two"])
+    same_set = (F.col("one") == F.col("_one")) & (F.col("two") == F.col("_two"))
+    known = sets.join(members, (F.col("id") == F.col("rep")) & same_set, "left_semi").dropDuplicates(["id", "one", "two"])
     postings = known.select("id", "n", F.posexplode("prefix").alias("pos", "gram"))
     shared = postings.groupBy("gram").agg(F.min("id").alias("_lo"), F.max("id").alias("_hi")).where("_lo <> _hi").select("gram")
     # what an aggregate gives is written before it is joined with its own rows, here and below: then both sides are dealt for the join alone, and Spark can split an n-gram that very many hold
@@ -224,22 +264,20 @@ def link_components(docs: DataFrame, words: int = 5, share: int = 80, id_col: st
     links, tried, label = None, None, None
     for turn in range(3):
         # what is still apart: n-grams whose classes lie in more than one component
-        rows = postings if label is None else postings.join(label, F.col("id") == F.col("node"), "left").select("gram", "id", "n", "pos", F.coalesce("component", "id").alias("part"))
         if label is None:
-            rows = rows.withColumn("part", F.col("id"))
+            rows = postings.withColumn("part", F.col("id"))
         else:
+            part = F.coalesce("component", "id").alias("part")
+            rows = postings.join(label, F.col("id") == F.col("node"), "left").select("gram", "id", "n", "pos", part)
             apart = rows.groupBy("gram").agg(F.min("part").alias("_lo"), F.max("part").alias("_hi")).where("_lo <> _hi").select("gram")
             rows = written(rows.join(written(apart, "apart-grams"), "gram"), "apart")
         if turn < 2:
             # the leader: first the one with the fewest rarer n-grams, then any
             first = F.col("pos") if turn == 0 else F.xxhash64("id")
-            lead = rows.groupBy("gram").agg(F.min(F.struct(first.alias("first"), "id", "n", "pos", "part")).alias("_lead")).select("gram", "_lead.*")
-            lead = written(lead, "leaders")
+            lead = rows.groupBy("gram").agg(F.min(F.struct(first.alias("first"), "id", "n", "pos", "part")).alias("_lead"))
+            pairs = _led(rows, written(lead.select("gram", "_lead.*"), "leaders"), share)
         else:
-            lead = rows
-        x, y = rows.alias("x"), lead.alias("y")
-        apart = (F.col("x.id") < F.col("y.id")) if turn == 2 else (F.col("x.id") != F.col("y.id"))
-        pairs = x.join(y, (F.col("x.gram") == F.col("y.gram")) & apart & (F.col("x.part") != F.col("y.part")) & _close("x", "y", share))
+            pairs = _all_close(rows, share)
         # the smaller id second, so that texts of leaders meet many partners in a row
         pairs = pairs.select(F.greatest("x.id", "y.id").alias("u"), F.least("x.id", "y.id").alias("v")).distinct()
         if tried is not None:
@@ -250,11 +288,16 @@ def link_components(docs: DataFrame, words: int = 5, share: int = 80, id_col: st
         tried = pairs if tried is None else tried.unionByName(pairs)
         label = components(links)
     whole = members.join(label, F.col("rep") == F.col("node"), "left").select("_one", "_two", "_n", F.coalesce("component", "rep").alias("component"))
-    out = sets.select("id", "n", "one", "two").join(whole, (F.col("one") == F.col("_one")) & (F.col("two") == F.col("_two")) & (F.col("n") == F.col("_n")) & F.col("id").isNotNull(), "left")
-    return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("component", "id").alias("component_id"))
+    out = sets.select("id", "n", "one", "two").join(whole, same_set & (F.col("n") == F.col("_n")) & F.col("id").isNotNull(), "left")
+    component = F.coalesce("component", "id").alias("component_id")
+    out = tables.keep(out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), component), "components")
+    classes.unpersist()
+    return out
 
 
 def drop_near_copies(docs: DataFrame, words: int = 5, share: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs without those that aren't the first of their component: one document of each group stays, with all its columns. Rows with null ids stay; of rows that share an id and stay, all stay."""
-    gone = link_components(docs, words, share, id_col, text_col).where(F.col(id_col) != F.col("component_id")).select(F.col(id_col).alias("_gone")).distinct()
-    return docs.join(gone, F.col(id_col) == F.col("_gone"), "left_anti")
+    """docs without those that aren't the first of their component: one document of each group stays, with all its columns, whatever their names. Rows with null ids stay; of rows that share an id and stay, all stay."""
+    (name,) = fresh(docs, "_gone")
+    parts = link_components(docs, words, share, id_col, text_col)
+    gone = parts.where(F.col(quoted(id_col)) != F.col("component_id")).select(F.col(quoted(id_col)).alias(name)).distinct()
+    return docs.join(gone, F.col(quoted(id_col)) == F.col(name), "left_anti")

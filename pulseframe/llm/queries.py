@@ -16,7 +16,8 @@ def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
 
 
 def op1_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ngram_join.link_components(table(spark, sf_dir, "documents"), words=3, share=90)
+    out = ngram_join.link_components(table(spark, sf_dir, "documents"), words=3, share=90)
+    return out.withColumn("component_id", F.col("component_id").cast("long"))
 
 
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -28,7 +29,8 @@ def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_embedding_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return embeddings.near_duplicates(table(spark, sf_dir, "embeddings"))
+    out = embeddings.near_duplicates(table(spark, sf_dir, "embeddings"))
+    return out.withColumn("component_id", F.col("component_id").cast("long"))
 
 
 def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -37,7 +39,7 @@ def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     ordered = F.array_sort(F.transform(F.concat("base", "added"), lambda s: F.struct(F.array_position(kinds, s["kind"]).alias("rank"), s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind"))))
     joined = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
     count = lambda kind: F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
-    return found.select("doc_id", *map(count, pii.KINDS), F.sha2(joined("base").cast("binary"), 256).alias("base_sha256"), joined(ordered).alias("spans"))
+    return found.select("doc_id", *map(count, pii.KINDS), F.sha2(joined("base").cast("binary"), 256).alias("base_sha256"), joined(ordered).alias("spans"), F.size(ordered).cast("long").alias("n_spans"))
 
 
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
