@@ -5,14 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pulseframe.operators.scratch import Scratch, checkpoint_folder
+from pulseframe.operators.scratch import Scratch, checkpoint_folder, dealt_anew
 
 __all__ = ["checkpoint_folder", "components"]
 
 
 def _nearest(edges: DataFrame) -> DataFrame:
     """Of each u the smallest v."""
-    return edges.groupBy("u").agg(F.min("v").alias("m"))
+    return dealt_anew(edges.groupBy("u").agg(F.min("v").alias("m")), "u")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -20,10 +20,8 @@ def components(edges: DataFrame) -> DataFrame:
 
     Alternating large-star and small-star steps until nothing changes. The
     edges of each round are written to the shared folder, so a lost executor
-    costs one round; the rounds before the last are dropped. What a node's
-    neighbours are aggregated to is written too before it is joined with
-    them: so both sides are dealt for the join alone, and Spark can split a
-    node that very many edges meet in.
+    costs one round; the rounds before the last are dropped. A node that very
+    many edges meet in is aggregated in parts and split in the joins.
 
     Edges with a null end, and those from a node to itself, are left out;
     nodes without edges have no row. Repeated edges count once. An empty
@@ -34,10 +32,10 @@ def components(edges: DataFrame) -> DataFrame:
     edges, state = tables.written(edges, "edges"), None
     while True:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = tables.written(_nearest(both).select("u", F.least("u", "m").alias("m")), "nearest")
+        least = _nearest(both).select("u", F.least("u", "m").alias("m"))
         large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        large = tables.written(large.where("u <> v").distinct(), "large-stars")
-        least = tables.written(_nearest(large), "nearest")
+        large = large.where("u <> v").distinct()
+        least = _nearest(large)
         small = large.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         edges = tables.written(small.unionByName(least.select("u", F.col("m").alias("v"))).where("u <> v").distinct(), "edges")
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()

@@ -197,3 +197,59 @@ def test_aliases_and_nodes(spark):
     both = spark.createDataFrame([("x", "1.1.1.1"), ("x", "2.2.2.2")], "uid string, address string")
     with pytest.raises(Exception, match="two nodes"):
         graph.itdk_aliases(both, nodes).collect()
+
+
+def test_a_hub_is_split_in_the_joins_of_components(spark):
+    """What components() joins: neighbours with what they were aggregated to. Most edges meet in one node."""
+    from pulseframe.operators.components import _nearest, components
+
+    hot = {
+        "spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "64k", "spark.sql.adaptive.advisoryPartitionSizeInBytes": "32k",
+        "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "2",
+    }
+    before = {k: spark.conf.get(k, None) for k in hot}
+    try:
+        for k, v in hot.items():
+            spark.conf.set(k, v)
+        ids = spark.range(60_000).repartition(8)
+        edges = ids.select(F.when(F.col("id") % 5 == 0, F.col("id")).otherwise(F.lit(70_000)).alias("u"), (F.xxhash64("id") % 10**12 + 2 * 10**12).alias("v"))
+        joined = edges.join(_nearest(edges), "u")
+        most = max(joined.rdd.mapPartitions(lambda rows: [sum(1 for _ in rows)]).collect())
+        plan = joined._jdf.queryExecution()
+        plan.executedPlan().execute().count()
+        assert "skew=true" in plan.executedPlan().toString()
+        assert most < 48_000
+        sizes = components(edges).groupBy("component").count().collect()
+        assert max(r[1] for r in sizes) == 48_001 and len(sizes) == 12_001
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
+def test_components_of_a_long_chain_and_of_odd_edges(spark):
+    from pulseframe.operators.components import components
+
+    rows = [(i, i + 1) for i in range(300)] + [(5, 5), (None, 3), (900, 901), (901, 900)]
+    got = {r.node: r.component for r in components(spark.createDataFrame(rows, "u long, v long")).collect()}
+    assert got == {i: 0 for i in range(301)} | {900: 900, 901: 900}
+    assert components(spark.createDataFrame([], "u string, v string")).count() == 0
+
+
+def test_a_cluster_needs_a_shared_folder(spark, monkeypatch):
+    from pulseframe.operators import scratch
+
+    class Session:
+        class sparkContext:
+            master = "spark://somewhere:7077"
+
+            class _jsc:
+                @staticmethod
+                def sc():
+                    return type("c", (), {"getCheckpointDir": lambda self: type("o", (), {"isDefined": lambda self: False})()})()
+
+        class conf:
+            get = staticmethod(lambda name, other: other)
+
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        scratch.checkpoint_folder(Session)
