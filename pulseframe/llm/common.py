@@ -6,9 +6,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pulseframe.operators.components import components
-from pulseframe.operators.scratch import Scratch, fresh, quoted, scratch, written
+from pulseframe.operators.scratch import Scratch, dealt_anew, fresh, quoted, scratch, written
 
-__all__ = ["LOWER", "SPACES", "UPPER", "WORD", "Scratch", "ascii_lower", "components", "fresh", "kind_of", "quoted", "scratch", "table", "written"]
+__all__ = ["LOWER", "SPACES", "UPPER", "WORD", "Scratch", "ascii_lower", "components", "dealt_anew", "fresh", "kind_of", "quoted", "scratch", "table", "written"]
 
 #: The white space that separates words: space, \t, \n, \v, \f, \r.
 SPACES = " \t\n\x0b\x0c\r"

@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pulseframe.llm.common import Scratch, components, fresh, kind_of, quoted
+from pulseframe.llm.common import Scratch, components, dealt_anew, fresh, kind_of, quoted
 
 _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
 CHUNKS = 64
@@ -258,9 +258,8 @@ def link_components(docs: DataFrame, words: int = 5, share: int = 80, id_col: st
     known = sets.join(members, (F.col("id") == F.col("rep")) & same_set, "left_semi").dropDuplicates(["id", "one", "two"])
     postings = known.select("id", "n", F.posexplode("prefix").alias("pos", "gram"))
     shared = postings.groupBy("gram").agg(F.min("id").alias("_lo"), F.max("id").alias("_hi")).where("_lo <> _hi").select("gram")
-    # what an aggregate gives is written before it is joined with its own rows, here and below: then both sides are dealt for the join alone, and Spark can split an n-gram that very many hold
-    shared = written(shared, "shared")
-    postings = written(postings.join(shared, "gram").select("gram", "id", "n", "pos"), "postings")
+    # an n-gram that very many hold is split in the joins, here and below
+    postings = written(postings.join(dealt_anew(shared, "gram"), "gram").select("gram", "id", "n", "pos"), "postings")
     links, tried, label = None, None, None
     for turn in range(3):
         # what is still apart: n-grams whose classes lie in more than one component
@@ -270,12 +269,12 @@ def link_components(docs: DataFrame, words: int = 5, share: int = 80, id_col: st
             part = F.coalesce("component", "id").alias("part")
             rows = postings.join(label, F.col("id") == F.col("node"), "left").select("gram", "id", "n", "pos", part)
             apart = rows.groupBy("gram").agg(F.min("part").alias("_lo"), F.max("part").alias("_hi")).where("_lo <> _hi").select("gram")
-            rows = written(rows.join(written(apart, "apart-grams"), "gram"), "apart")
+            rows = written(rows.join(dealt_anew(apart, "gram"), "gram"), "apart")
         if turn < 2:
             # the leader: first the one with the fewest rarer n-grams, then any
             first = F.col("pos") if turn == 0 else F.xxhash64("id")
             lead = rows.groupBy("gram").agg(F.min(F.struct(first.alias("first"), "id", "n", "pos", "part")).alias("_lead"))
-            pairs = _led(rows, written(lead.select("gram", "_lead.*"), "leaders"), share)
+            pairs = _led(rows, dealt_anew(lead.select("gram", "_lead.*"), "gram"), share)
         else:
             pairs = _all_close(rows, share)
         # the smaller id second, so that texts of leaders meet many partners in a row
