@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pulseframe.llm.common import SPACES, ascii_lower, written
+from pulseframe.llm.common import SPACES, ascii_lower, fresh, quoted, written
 
 
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = 40, min_docs: int = 5) -> DataFrame:
@@ -24,13 +24,17 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     Nulls and ends: a null or empty text is one empty line, and stays null
     when null. A row with a null id loses no line and counts for none. Rows
     that repeat an id count as one document. Keys too short never drop. A
-    document may end with an empty text; its row stays. Columns of docs named
-    n_lines or n_dropped are replaced; all others pass through.
+    document may end with an empty text; its row stays. A very long text, or
+    one of very many lines, is split and reassembled as one row. An empty
+    table gives an empty table. Columns of docs named n_lines or n_dropped are
+    replaced; all others pass through, whatever their names.
     """
     docs = docs.drop("n_lines", "n_dropped")
-    lines = F.split(F.coalesce(F.col(text_col), F.lit("")), "\n", -1)
+    of, drop_id, drop_of, drop = fresh(docs, "_of", "_drop_id", "_drop_of", "_drop")
+    id_, text = F.col(quoted(id_col)), F.col(quoted(text_col))
+    lines = F.split(F.coalesce(text, F.lit("")), "\n", -1)
     # the row is known again by its id and its text, since ids may repeat
-    keyed = docs.select(F.col(id_col).alias("_id"), F.xxhash64(text_col).alias("_of"), lines.alias("_lines")).where("_id is not null")
+    keyed = docs.select(id_.alias("_id"), F.xxhash64(text).alias("_of"), lines.alias("_lines")).where("_id is not null")
     keyed = keyed.select("_id", "_of", F.posexplode("_lines").alias("_at", "_line"))
     key = ascii_lower(F.trim(F.col("_line"), F.lit(SPACES)))
     keyed = keyed.where(F.char_length("_line") >= min_chars).select("_id", "_of", "_at", key.alias("_key")).where(F.char_length("_key") >= min_chars)
@@ -40,9 +44,9 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     # written, so that both sides of the join are dealt for it alone and Spark can split a line that very many hold, or broadcast a table that proves small
     shared = written(shared.select("_a", "_b", "_keeper"), "shared-lines")
     drops = keyed.join(shared, ["_a", "_b"]).where("_id <> _keeper").groupBy("_id", "_of").agg(F.collect_set("_at").alias("_drop"))
-    drops = drops.select(F.col("_id").alias("_drop_id"), F.col("_of").alias("_drop_of"), "_drop")
-    out = docs.withColumn("_of", F.xxhash64(text_col)).join(drops, (F.col(id_col) == F.col("_drop_id")) & (F.col("_of") == F.col("_drop_of")), "left")
-    kept = F.when(F.col("_drop").isNull(), F.col(text_col)).otherwise(F.array_join(F.filter(lines, lambda x, i: ~F.array_contains("_drop", i)), "\n"))
-    n_lines = F.char_length(F.coalesce(text_col, F.lit(""))) - F.char_length(F.translate(F.coalesce(text_col, F.lit("")), "\n", "")) + 1
-    out = out.withColumns({"n_lines": n_lines.cast("long"), "n_dropped": F.coalesce(F.size("_drop"), F.lit(0)).cast("long"), text_col: kept})
-    return out.drop("_of", "_drop_id", "_drop_of", "_drop")
+    drops = drops.select(F.col("_id").alias(drop_id), F.col("_of").alias(drop_of), F.col("_drop").alias(drop))
+    out = docs.withColumn(of, F.xxhash64(text)).join(drops, (id_ == F.col(drop_id)) & (F.col(of) == F.col(drop_of)), "left")
+    kept = F.when(F.col(drop).isNull(), text).otherwise(F.array_join(F.filter(lines, lambda x, i: ~F.array_contains(drop, i)), "\n"))
+    n_lines = F.char_length(F.coalesce(text, F.lit(""))) - F.char_length(F.translate(F.coalesce(text, F.lit("")), "\n", "")) + 1
+    out = out.withColumns({"n_lines": n_lines.cast("long"), "n_dropped": F.coalesce(F.size(drop), F.lit(0)).cast("long"), text_col: kept})
+    return out.drop(of, drop_id, drop_of, drop)

@@ -1,8 +1,9 @@
 """Quality rules as a short-circuit cascade.
 
-The rules' costs and rejection rates are estimated on a bounded sample; then
-each document meets the rules in order of rejections per cost and stops at the
-first that rejects it. The order changes the work, never the verdict.
+The rules' costs and rejection rates are estimated on a bounded sample of each
+part of the table; then each document meets the rules in order of rejections
+per cost and stops at the first that rejects it. The order changes the work,
+never the verdict.
 """
 
 from __future__ import annotations
@@ -11,10 +12,14 @@ import re
 import time
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql.types import StructField, StructType
+
+from pulseframe.llm.common import quoted
 
 _SYMBOLS = re.compile(r"[#*$%&|<>]")
 _UPPER = re.compile(r"[A-ZÀ-ÖØ-Þ]")
@@ -22,53 +27,48 @@ _SPACE = bytes(range(9, 14)) + b" "
 
 
 class Text:
-    """A text, with what rules share made once and only when asked for."""
-
-    __slots__ = ("_bytes", "_ids", "_words", "text")
+    """A text, with what rules share made once, when first asked for."""
 
     def __init__(self, text: str | None):
-        self.text, self._bytes, self._words, self._ids = text or "", None, None, None
+        self.text = text or ""
 
-    @property
+    @cached_property
     def bytes(self) -> bytes:
-        if self._bytes is None:
-            self._bytes = self.text.encode("utf-8", "surrogatepass")
-        return self._bytes
+        return self.text.encode("utf-8", "surrogatepass")
 
-    @property
+    @cached_property
     def words(self) -> list[bytes]:
-        if self._words is None:
-            self._words = self.bytes.split()  # of bytes: at \\t \\n \\v \\f \\r and space alone
-        return self._words
+        return self.bytes.split()  # of bytes: at \\t \\n \\v \\f \\r and space alone
 
-    @property
+    @cached_property
     def ids(self) -> np.ndarray:
-        if self._ids is None:
-            seen: dict[bytes, int] = {}
-            self._ids = np.fromiter((seen.setdefault(w, len(seen)) for w in self.words), np.int64, len(self.words))
-        return self._ids
-
+        seen: dict[bytes, int] = {}
+        return np.fromiter((seen.setdefault(w, len(seen)) for w in self.words), np.int64, len(self.words))
 
-def word_chars(t: Text) -> int:
-    """Code points in words."""
-    return len(t.text) - (len(t.bytes) - len(t.bytes.translate(None, _SPACE)))
+    @cached_property
+    def word_chars(self) -> int:
+        """Code points in words."""
+        return len(self.text) - (len(self.bytes) - len(self.bytes.translate(None, _SPACE)))
 
+    @cached_property
+    def n_symbols(self) -> int:
+        return len(_SYMBOLS.findall(self.text))
 
-def n_symbols(t: Text) -> int:
-    return len(_SYMBOLS.findall(t.text))
+    @cached_property
+    def n_dup_lines(self) -> int:
+        """Lines with a word that equal an earlier line."""
+        lines = [x for x in self.bytes.split(b"\n") if x.strip()]
+        return len(lines) - len(set(lines))
 
+    @cached_property
+    def n_repeat_words(self) -> int:
+        return repeat_words(self.ids)
 
-def n_dup_lines(t: Text) -> int:
-    """Lines with a word that equal an earlier line."""
-    lines = [x for x in t.bytes.split(b"\n") if x.strip()]
-    return len(lines) - len(set(lines))
 
-
-def n_repeat_words(t: Text, width: int = 8) -> int:
+def repeat_words(ids: np.ndarray, width: int = 8) -> int:
     """Words in windows of ``width`` words that the text has twice or more, the first included."""
-    if len(t.words) <= width:
+    if len(ids) <= width:
         return 0
-    ids = t.ids
     windows = np.lib.stride_tricks.sliding_window_view(ids, width)
     with np.errstate(over="ignore"):
         h = np.zeros(len(windows), np.uint64)
@@ -92,6 +92,10 @@ def n_repeat_words(t: Text, width: int = 8) -> int:
     return int((np.cumsum(edge)[:-1] > 0).sum())
 
 
+def n_repeat_words(t: Text) -> int:
+    return t.n_repeat_words
+
+
 @dataclass(frozen=True)
 class Rule:
     """``rejects`` says whether a text fails."""
@@ -103,28 +107,35 @@ class Rule:
 #: The base rules, then those of the method's own verdict.
 BASE = (
     Rule("few_words", lambda t: len(t.words) < 20),
-    Rule("repeated_words", lambda t: 100 * n_repeat_words(t) > 30 * len(t.words)),
+    Rule("repeated_words", lambda t: 100 * t.n_repeat_words > 30 * len(t.words)),
 )
 RULES = (
-    Rule("symbols", lambda t: 10 * n_symbols(t) > len(t.words)),
-    Rule("shouting", lambda t: 2 * len(_UPPER.findall(t.text)) > word_chars(t)),
+    Rule("symbols", lambda t: 10 * t.n_symbols > len(t.words)),
+    Rule("shouting", lambda t: 2 * len(_UPPER.findall(t.text)) > t.word_chars),
     Rule("exclamations", lambda t: 4 * t.bytes.count(b"!") > len(t.words)),
-    Rule("repeated_lines", lambda t: 2 * n_dup_lines(t) > 1 + t.bytes.count(b"\n")),
-    Rule("word_length", lambda t: not 2 * len(t.words) <= word_chars(t) <= 18 * len(t.words)),
+    Rule("repeated_lines", lambda t: 2 * t.n_dup_lines > 1 + t.bytes.count(b"\n")),
+    Rule("word_length", lambda t: not 2 * len(t.words) <= t.word_chars <= 18 * len(t.words)),
 )
+NAMES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 
 
-def order_rules(rules: tuple[Rule, ...], texts: list[str | None]) -> list[Rule]:
+def order_rules(rules: tuple[Rule, ...], texts: list[str | None], known: Callable[[Text], object] | None = None) -> list[Rule]:
     """The rules by rejections per second on the sample, most first; rules that reject none there come last, cheapest first.
 
-    Costs are taken with fresh texts, so a rule pays for what it derives. On
-    an empty sample the order stays.
+    Costs are taken with fresh texts, so a rule pays for what it derives, but
+    for what ``known`` derives beforehand, which is there anyway. On an empty
+    sample the order stays.
     """
     scored = []
     for at, rule in enumerate(rules):
-        began = time.perf_counter()
-        rejected = sum(rule.rejects(Text(x)) for x in texts)
-        cost = (time.perf_counter() - began) / max(1, len(texts)) + 1e-9
+        cost = rejected = 0
+        for text in map(Text, texts):
+            if known is not None:
+                known(text)
+            began = time.perf_counter()
+            rejected += rule.rejects(text)
+            cost += time.perf_counter() - began
+        cost = cost / max(1, len(texts)) + 1e-9
         scored.append((-(rejected / max(1, len(texts))) / cost, cost if texts else at, at, rule))
     return [x[-1] for x in sorted(scored, key=lambda x: x[:3])]
 
@@ -133,49 +144,63 @@ def first_rejection(text: Text, cascade: list[Rule]) -> str | None:
     return next((r.name for r in cascade if r.rejects(text)), None)
 
 
-def sample_texts(docs: DataFrame, text_col: str, sample_rows: int) -> list[str | None]:
-    return [r[0] for r in docs.select(text_col).limit(sample_rows).collect()]
+def spread(column: pa.Array, most: int) -> list[str | None]:
+    """At most ``most`` texts, evenly spaced over the column."""
+    n = len(column)
+    return [column[i * n // most].as_py() for i in range(most)] if n > most else column.to_pylist()
 
 
-def filter_quality(docs: DataFrame, text_col: str = "text", rules: tuple[Rule, ...] = BASE + RULES, sample_rows: int = 200) -> DataFrame:
-    """docs without the documents that a rule rejects, all columns as they are.
+def filter_quality(docs: DataFrame, text_col: str = "text", rules: tuple[Rule, ...] = BASE + RULES, sample_rows: int = 64) -> DataFrame:
+    """docs without the documents that a rule rejects, all columns as they are, whatever their names.
 
-    ``sample_rows`` bounds the sample on which the rules are ordered. A null
-    text counts as an empty one, and so has too few words. Ties and repeated
-    rows are judged alike; an empty table gives an empty table.
+    Each task orders the rules on ``sample_rows`` texts spread over the first
+    batch that it reads, so all parts of the table are sampled and nothing is
+    collected. A null text counts as an empty one, and so has too few words.
+    Ties and repeated rows are judged alike; a very long text is judged whole;
+    an empty table gives an empty table.
     """
-    cascade = order_rules(rules, sample_texts(docs, text_col, sample_rows))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cascade = None
         for b in batches:
-            yield b.filter(pa.array([first_rejection(Text(x), cascade) is None for x in b.column(text_col).to_pylist()], pa.bool_()))
+            texts = b.column(at)
+            if cascade is None and b.num_rows:
+                cascade = order_rules(rules, spread(texts, sample_rows))
+            yield b.filter(pa.array([first_rejection(Text(x.as_py()), cascade) is None for x in texts], pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    at, names = docs.columns.index(text_col), [f"c{i}" for i in range(len(docs.columns))]
+    schema = StructType([StructField(n, f.dataType, f.nullable) for n, f in zip(names, docs.schema, strict=True)])
+    return docs.toDF(*names).mapInArrow(run, schema).toDF(*docs.columns)  # Arrow takes plain names alone
 
 
-def judge_quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rules: tuple[Rule, ...] = RULES, sample_rows: int = 200) -> DataFrame:
+def judge_quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rules: tuple[Rule, ...] = RULES, sample_rows: int = 64) -> DataFrame:
     """A row for each row of docs: its id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept.
 
     kept is false if the base fails (under 20 words, or over 30 % of the
     words in repeated windows of eight), else the cascade's verdict, which
-    stops at the first rule that rejects. Null and empty texts have no words
-    and fail the base; a null id stays null.
+    stops at the first rule that rejects. Rules take the counts of the row as
+    they are, and pay for nothing twice; each task orders them as in
+    ``filter_quality``. Null and empty texts have no words and fail the base;
+    a null id stays null; repeated rows are judged alike; a very long text is
+    judged whole; an empty table gives no rows; other columns are not carried.
     """
-    cascade = order_rules(rules, sample_texts(docs, text_col, sample_rows))
-    names = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
     id_type = docs.schema[id_col].dataType.simpleString()
+    counted = lambda t: (len(t.words), t.word_chars, t.n_symbols, t.n_dup_lines, t.n_repeat_words)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cascade = None
         for b in batches:
+            if cascade is None and b.num_rows:
+                cascade = order_rules(rules, spread(b.column(1), sample_rows), counted)
             counts, failed, kept = [], [], []
             for x in b.column(1):
                 t = Text(x.as_py())
-                n, repeats = len(t.words), n_repeat_words(t)
-                counts.append((n, word_chars(t), n_symbols(t), n_dup_lines(t), repeats))
-                failed.append(n < 20 or 100 * repeats > 30 * n)
+                counts.append(counted(t))
+                failed.append(counts[-1][0] < 20 or 100 * counts[-1][-1] > 30 * counts[-1][0])
                 kept.append(not failed[-1] and first_rejection(t, cascade) is None)
-            columns = list(zip(*counts, strict=True)) or [()] * len(names)
-            yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(c, pa.int64()) for c in columns), pa.array(failed, pa.bool_()), pa.array(kept, pa.bool_())], names=[id_col, *names, "base_failed", "kept"])
+            columns = list(zip(*counts, strict=True)) or [()] * len(NAMES)
+            columns = [*(pa.array(c, pa.int64()) for c in columns), pa.array(failed, pa.bool_()), pa.array(kept, pa.bool_())]
+            yield pa.RecordBatch.from_arrays([b.column(0), *columns], names=[id_col, *NAMES, "base_failed", "kept"])
 
-    schema = f"`{id_col}` {id_type}, " + ", ".join(f"{n} long" for n in names) + ", base_failed boolean, kept boolean"
-    return docs.select(id_col, text_col).mapInArrow(run, schema)
+    schema = f"{quoted(id_col)} {id_type}, " + ", ".join(f"{n} long" for n in NAMES) + ", base_failed boolean, kept boolean"
+    return docs.select(quoted(id_col), quoted(text_col)).mapInArrow(run, schema)

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pulseframe.llm import embeddings, licenses, line_dedup, mixing, ngram_join, packing, pii, quality, toxicity, warc
-from pulseframe.llm.common import table
+from pulseframe.llm.common import WORD, table
 
 
 def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
@@ -43,7 +43,11 @@ def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixing.plan_mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+    docs = table(spark, sf_dir, "documents")
+    # longer documents are likelier: up to twelve words weigh 1, up to 120 weigh 2, more weigh 4
+    spaces = F.regexp_count(F.coalesce("text", F.lit("")), F.lit(WORD))
+    weight = F.when(spaces <= 12, 1.0).when(spaces <= 120, 2.0).otherwise(4.0)
+    return mixing.plan_mix(docs, weight=weight).select("doc_id", "size", "source_size", "target", "taken")
 
 
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -58,7 +62,7 @@ def op7_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     index = warc.archive(table(spark, sf_dir, "pages"))
-    return index.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url", "captured")
+    return index.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url", "captured", "url_key", "place")
 
 
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -84,26 +88,34 @@ QUERIES = {
 }
 
 def _licenses_sql() -> str:
-    """The scan as SQL: the constants are the operator's, the reading is written anew."""
+    """The scan as SQL: the constants are the operator's, the reading is written anew, a row for each paragraph."""
     known = ", ".join(f"'{k}': '{v}'" for k, v in licenses.KNOWN.items())
-    sentences = "list_filter(list_transform(string_split(regexp_replace({} || chr(10), '[.!?;:]+[\\x20\\x09-\\x0D]+', chr(10), 'g'), chr(10)), lambda s: MAP {{{}}}[trim(regexp_replace(translate(s, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^a-z0-9]+', ' ', 'g'), ' ')]), lambda x: x IS NOT NULL)"
-    by_line, flowing = sentences.format("t", known), sentences.format("replace(regexp_replace(t, chr(10) || chr(10) || '+', '. ' || chr(1), 'g'), chr(10), ' ')", known)
-    steps, left = [], "array_to_string(list_transform(ids, lambda s: '<' || s || '>'), '')"
-    steps.append(f"s0 AS (SELECT *, {left} AS q0 FROM ids)")
+    normal = "trim(regexp_replace(translate(s, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^a-z0-9]+', ' ', 'g'), ' ')"
+    # sentences between bars; known ones with a mark inside are put together
+    joined = f"'|' || array_to_string(list_transform(string_split(regexp_replace({{}} || chr(10), '[.!?;:]+[\\x20\\x09-\\x0D]+', chr(10), 'g'), chr(10)), lambda s: {normal}), '||') || '|'"
+    for parts, whole in licenses.PARTED.items():
+        joined = f"replace({joined}, '{parts.replace('<', '|').replace('>', '|')}', '{whole.replace('<', '|').replace('>', '|')}')"
+    marks = "array_to_string(list_transform(list_filter(string_split(trim({}, '|'), '||'), lambda s: s <> ''), lambda s: coalesce('<' || MAP {{{}}}[s] || '>', '~')), '')"
+    anchors = " OR ".join(f"contains(lower(p), '{a}')" for a in licenses.ANCHORS)
+    unknown = "repeat('~', len(list_filter(string_split(p, chr(10)), lambda x: regexp_matches(x, '[^\\x20\\x09-\\x0D]'))))"
+    steps = []
     for i, (_, parts) in enumerate(licenses.RULES):
         pattern = "".join(f"<{p}>" for p in parts)
         steps.append(f"s{i + 1} AS (SELECT *, replace(q{i}, '{pattern}', '|') AS q{i + 1}, contains(q{i}, '{pattern}') AS h{i}, (length(q{i}) - length(replace(q{i}, '{pattern}', '|'))) // {len(pattern) - 1} AS c{i} FROM s{i})")
     n = len(licenses.RULES)
-    order = list(dict.fromkeys(name for name, _ in licenses.RULES))
-    first = {name: [i for i, r in enumerate(licenses.RULES) if r[0] == name] for name in order}
+    first = {name: [i for i, r in enumerate(licenses.RULES) if r[0] == name] for name, _ in licenses.RULES}
     # a licence stands where its first rule that matched stands
-    place = ", ".join(f"{{'p': CASE {' '.join(f'WHEN h{i} THEN {i}' for i in first[name])} ELSE -1 END, 'n': '{name}'}}" for name in order)
+    place = ", ".join(f"{{'p': CASE {' '.join(f'WHEN h{i} THEN {i}' for i in at)} ELSE -1 END, 'n': '{name}'}}" for name, at in first.items())
     return f"""
         WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
-        r AS (SELECT doc_id, {by_line} AS l, {flowing} AS f FROM d),
-        ids AS (SELECT doc_id, CASE WHEN len(f) > len(l) THEN f ELSE l END AS ids FROM r),
+        r AS (SELECT doc_id, unnest(string_split_regex(t, '\\n\\n+')) AS p, generate_subscripts(string_split_regex(t, '\\n\\n+'), 1) AS i FROM d),
+        a AS (SELECT *, {anchors} AS may FROM r),
+        j AS (SELECT *, CASE WHEN may THEN {joined.format('p')} ELSE '' END AS l, CASE WHEN may THEN {joined.format("replace(p, chr(10), ' ')")} ELSE '' END AS f FROM a),
+        m AS (SELECT doc_id, i, may, CASE WHEN may THEN {marks.format('l', known)} ELSE {unknown} END AS l, CASE WHEN may THEN {marks.format('f', known)} ELSE '' END AS f FROM j),
+        w AS (SELECT doc_id, bool_or(may) AS may, string_agg(CASE WHEN may AND length(replace(f, '<', '<<')) - length(f) > length(replace(l, '<', '<<')) - length(l) THEN f ELSE l END, '' ORDER BY i) AS q FROM m GROUP BY doc_id),
+        s0 AS (SELECT doc_id, CASE WHEN may THEN replace(regexp_replace(q, '~{{{licenses.GAP},}}', '|', 'g'), '~', '') ELSE '' END AS q0 FROM w),
         {", ".join(steps)}
-        SELECT doc_id, len(ids) AS n_sentences, array_to_string(ids, ',') AS sentence_ids,
+        SELECT doc_id, len(regexp_extract_all(q0, '<'))::BIGINT AS n_sentences, array_to_string(regexp_extract_all(q0, '<([^>]*)>', 1), ',') AS sentence_ids,
                array_to_string(list_transform(list_sort(list_filter([{place}], lambda x: x.p >= 0)), lambda x: x.n), ',') AS licenses,
                {" + ".join(f"c{i}" for i in range(n))} AS n_matches
         FROM s{n}"""
@@ -134,13 +146,22 @@ ORACLE_SQL = {
         {_REACH},
         m AS (SELECT id, min(other) AS component_id FROM reach GROUP BY id), d AS (SELECT a, count(*) AS n FROM e GROUP BY a)
         SELECT m.id AS vec_id, coalesce(d.n, 0) AS n_links, component_id, component_id = m.id AS kept FROM m LEFT JOIN d ON d.a = m.id""",
-    "op8_warc": """
-        WITH p AS (SELECT page_id, url, coalesce(html, '') AS h, max(page_id) OVER (PARTITION BY coalesce(html, '')) AS owner FROM pages)
+    "op8_warc": r"""
+        WITH p AS (SELECT page_id, url, coalesce(html, '') AS h, max(page_id) OVER (PARTITION BY coalesce(html, '')) AS owner, lower(trim(coalesce(url, ''))) AS l FROM pages),
+        u AS (
+            SELECT *, regexp_replace(regexp_extract(l, '^[a-z][a-z0-9+.-]*://([^/?#]*)', 1), '^.*@', '') AS net,
+                   regexp_extract(l, '^[a-z][a-z0-9+.-]*://[^/?#]*([^?#]*)', 1) AS path, regexp_extract(l, '^[^?#]*[?]([^#]*)', 1) AS query FROM p
+        ), k AS (
+            SELECT *, array_to_string(list_reverse(string_split(regexp_replace(regexp_replace(net, ':[0-9]*$', ''), '^www[.]', ''), '.')), ',')
+                   || CASE WHEN regexp_extract(net, ':([0-9]+)$', 1) IN ('', '80', '443') THEN '' ELSE ':' || regexp_extract(net, ':([0-9]+)$', 1) END
+                   || ')' || CASE WHEN path = '' THEN '/' ELSE path END || CASE WHEN query = '' THEN '' ELSE '?' || query END AS url_key,
+                   (1704067200 + page_id % 1000000000)::BIGINT AS captured FROM u
+        )
         SELECT page_id, octet_length(encode(h))::BIGINT AS payload_bytes,
                array_to_string(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', ((('0x' || substr(sha1(h), (i // 4 * 5 + 1)::INT, 5))::BIGINT >> (15 - i % 4 * 5)::INT) & 31)::INT + 1, 1)), '') AS payload_digest,
                CASE WHEN page_id = owner THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> owner THEN owner END AS refers_to,
-               url, (1704067200 + page_id % 1000000000)::BIGINT AS captured
-        FROM p""",
+               url, captured, url_key, row_number() OVER (ORDER BY url_key, captured, page_id) - 1 AS place
+        FROM k""",
     "op10_quality": r"""
         WITH d AS (SELECT doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
         b AS (SELECT doc_id, i, array_to_string(w[i:i + 7], ' ') AS x FROM (SELECT doc_id, w, unnest(range(1, len(w) - 6)) AS i FROM d WHERE len(w) >= 8)),
@@ -173,7 +194,8 @@ ORACLE_SQL = {
         FROM marked GROUP BY doc_id""",
     "op5_mixing": r"""
         WITH d AS (
-            SELECT doc_id, source, text, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size FROM documents
+            SELECT *, CASE WHEN size <= 12 THEN 1.0 WHEN size <= 120 THEN 2.0 ELSE 4.0 END::DOUBLE AS heavy
+            FROM (SELECT doc_id, source, text, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size FROM documents)
         ), s AS (
             SELECT source, sum(size)::BIGINT AS source_size FROM d GROUP BY source
         ), w AS (
@@ -188,11 +210,19 @@ ORACLE_SQL = {
             SELECT source, source_size, CASE WHEN capped THEN (3 * source_size)::DOUBLE
                    ELSE ((total - coalesce(sum(CASE WHEN capped THEN 3 * source_size END) OVER (), 0)::BIGINT) * w)::DOUBLE / (sum(CASE WHEN NOT capped THEN w END) OVER ())::DOUBLE END AS target
             FROM f
+        ), b AS (
+            SELECT d.source, heavy, any_value(target) AS target, sum(size)::DOUBLE AS words FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source GROUP BY d.source, heavy
+        ), bf AS (
+            SELECT *, (target - 3 * coalesce(sum(words) OVER (PARTITION BY source ORDER BY heavy DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0.0)) * heavy
+                      >= 3 * sum(words * heavy) OVER (PARTITION BY source ORDER BY heavy DESC ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS full_ FROM b
+        ), bl AS (
+            SELECT source, heavy, CASE WHEN full_ THEN 3.0::DOUBLE ELSE least(heavy * coalesce((target - 3 * coalesce(sum(CASE WHEN full_ THEN words END) OVER o, 0.0))
+                      / nullif(sum(CASE WHEN NOT full_ THEN words * heavy END) OVER o, 0.0), 0.0), 3.0::DOUBLE) END AS mean
+            FROM bf WINDOW o AS (PARTITION BY source)
         ), r AS (
-            SELECT doc_id, d.source, size, t.source_size, t.target,
-                   least(CASE WHEN t.source_size > 0 THEN t.target / t.source_size::DOUBLE ELSE 0.0 END, 3.0) AS mean,
+            SELECT doc_id, d.source, size, t.source_size, t.target, bl.mean,
                    (('0x' || substr(md5(coalesce(doc_id::VARCHAR, '') || 'mix'), 1, 12))::BIGINT::DOUBLE + 0.5) / 281474976710656.0 AS u
-            FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source
+            FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source JOIN bl ON d.source IS NOT DISTINCT FROM bl.source AND d.heavy = bl.heavy
         ), q AS (
             SELECT *, floor(mean)::BIGINT AS whole,
                    CASE WHEN mean - floor(mean) > 0 AND size > 0 THEN (u / (1.0 - u)) / ((mean - floor(mean)) / (1.0 - (mean - floor(mean)))) END AS q FROM r

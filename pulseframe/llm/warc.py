@@ -1,5 +1,6 @@
 """WARC archives: writing with revisits for equal payloads, reading back, and a globally ordered capture index.
 
+Each record is a gzip member of its own, so the index's offsets can be sought.
 The index is merged externally: each archive file gives a run of captures that
 is sorted where it was read; runs are cut at common range bounds, and a loser
 tree merges the runs of a range by URL key and timestamp.
@@ -9,17 +10,17 @@ from __future__ import annotations
 
 import base64
 import bisect
-import gzip
 import hashlib
+import zlib
 from collections.abc import Iterator
 from datetime import UTC, datetime, timedelta
 from urllib.parse import quote, unquote, urlsplit
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from pulseframe.llm.common import scratch, written
+from pulseframe.llm.common import dealt_anew, quoted, scratch, written
 
 _START = datetime(2024, 1, 1, tzinfo=UTC)
 _ID = "urn:pulseframe:page:"
@@ -41,73 +42,137 @@ def digest(payload: bytes) -> str:
     return base64.b32encode(hashlib.sha1(payload).digest()).decode()
 
 
-def record(page_id: int | None, url: str | None, html: str | None, refers_to: int | None, sha1: str, size: int, when: datetime) -> str:
-    """One WARC record without its closing line ends. A revisit keeps the HTTP header alone."""
+def record(record_id: str, url: str | None, html: str | None, refers_to: int | None, sha1: str, size: int, when: datetime) -> bytes:
+    """One WARC record. A revisit keeps the HTTP header alone."""
     revisit = refers_to is not None
     http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {size}{END}"
     head = ["WARC/1.1", f"WARC-Type: {'revisit' if revisit else 'response'}"]
-    head += [f"WARC-Record-ID: <{_ID}{'' if page_id is None else page_id}>", f"WARC-Date: {when:%Y-%m-%dT%H:%M:%SZ}"]
+    head += [f"WARC-Record-ID: <{_ID}{record_id}>", f"WARC-Date: {when:%Y-%m-%dT%H:%M:%SZ}"]
     if url is not None:
         head.append(f"WARC-Target-URI: {quote(url, safe=''.join(map(chr, range(33, 127))).replace('%', ''))}")
     head += [f"WARC-Payload-Digest: sha1:{sha1}"]
     if revisit:
         head += ["WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", f"WARC-Refers-To: <{_ID}{refers_to}>"]
     head += ["Content-Type: application/http; msgtype=response", f"Content-Length: {len(http) + (0 if revisit else size)}"]
-    return "\r\n".join(head) + END + http + ("" if revisit else html or "")
-
-
-def write_warc(pages: DataFrame, path: str, min_bytes: int = 0, records_per_file: int = 1000, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> None:
-    """A record for each row of pages, in archives of at most ``records_per_file`` records under path.
-
-    Of rows with equal payloads of at least ``min_bytes`` bytes, those with
-    the largest id are responses, the others revisit it; shorter payloads are
-    all responses. Archives are written by Spark's text writer, whose line
-    separator is the record's end, so any file system of Spark's will do;
-    each is one gzip stream, and offsets count in what it unpacks to.
-    A page's capture time is its id in seconds from 2024 on.
+    return ("\r\n".join(head) + END + http + ("" if revisit else html or "") + END).encode()
+
+
+def packed(data: bytes, most: int = 1 << 23) -> bytes:
+    """A record as a gzip member of its own, or several if it is over ``most`` bytes, which is under 2**24: so the last byte of each, the highest of its size, is 0."""
+    out = b""
+    for at in range(0, len(data), most):
+        one = zlib.compressobj(6, zlib.DEFLATED, 31)
+        out += one.compress(data[at : at + most]) + one.flush()
+    return out
+
+
+def write_warc(
+    pages: DataFrame,
+    path: str,
+    min_bytes: int = 0,
+    records_per_file: int = 100_000,
+    archive_bytes: int = 1 << 25,
+    id_col: str = "page_id",
+    url_col: str = "url",
+    html_col: str = "html",
+) -> None:
+    """A record for each row of pages, each a gzip member of its own, in archives under path.
+
+    An archive ends with the record that brings it to ``archive_bytes`` bytes
+    or ``records_per_file`` records. Of rows with equal payloads of at least
+    ``min_bytes`` bytes, those with the largest id are responses, the others
+    revisit it; shorter payloads are all responses. A payload that very many
+    rows share is split over tasks. A page's capture time is its id in seconds
+    from 2024 on.
+
+    Archives are written by Spark's text writer, so any file system of
+    Spark's will do: an archive is one row, and the writer's line separator is
+    the zero byte that a gzip member ends with here.
 
     Null html is an empty payload, a null url gives no target, null ids
-    revisit if any id is known for the payload, else they are responses.
-    Rows that repeat the largest id are all responses. An empty table gives
-    archives without records. Other columns are not looked at.
+    revisit if any id is known for the payload, else they are responses; their
+    records are told apart by a number. Rows that repeat the largest id are
+    all responses. A very long payload is in its task's memory whole. An empty
+    table gives no archives. Other columns are not looked at.
     """
-    html = F.coalesce(F.col(html_col), F.lit(""))
-    rows = pages.select(F.col(id_col).alias("id"), F.col(url_col).alias("url"), html.alias("html"), F.sha1(html.cast("binary")).alias("sha1"), F.octet_length(html).cast("long").alias("size"))
+    html = F.coalesce(F.col(quoted(html_col)), F.lit(""))
+    size = F.octet_length(html).cast("long").alias("size")
+    rows = pages.select(F.col(quoted(id_col)).alias("id"), F.col(quoted(url_col)).alias("url"), html.alias("html"), F.sha1(html.cast("binary")).alias("sha1"), size)
     owners = rows.groupBy("sha1", "size").agg(F.max("id").alias("owner"))
-    rows = rows.join(owners, ["sha1", "size"])
+    rows = rows.join(dealt_anew(owners, "sha1", "size"), ["sha1", "size"])
     refers = F.when((F.col("size") >= min_bytes) & ~F.col("id").eqNullSafe(F.col("owner")), F.col("owner"))
     rows = rows.select("id", "url", F.when(refers.isNull(), F.col("html")).alias("html"), "sha1", "size", refers.alias("refers"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for at in range(0, b.num_rows, 500):
-                out = []
-                for r in b.slice(at, 500).to_pylist():
-                    sha1 = base64.b32encode(bytes.fromhex(r["sha1"])).decode()
-                    out.append(record(r["id"], r["url"], r["html"], r["refers"], sha1, r["size"], _START + timedelta(seconds=(r["id"] or 0) % 10**9)))
-                yield pa.RecordBatch.from_arrays([pa.array(out, pa.string())], names=["value"])
+        from pyspark import TaskContext
 
-    rows.mapInArrow(run, "value string").write.option("lineSep", END).option("maxRecordsPerFile", records_per_file).option("compression", "gzip").text(path)
+        task, nameless, held, many = TaskContext.get().partitionId(), 0, bytearray(), 0
 
+        def archive() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([bytes(held[:-1])], pa.binary())], names=["value"])
 
-def records(data: bytes) -> Iterator[tuple[int, int, dict[str, str], bytes]]:
-    """(offset, length, header, block) of each record of an archive, found by the content lengths."""
-    at = 0
+        for b in batches:
+            for at in range(0, b.num_rows, 200):
+                for r in b.slice(at, 200).to_pylist():
+                    name = str(r["id"]) if r["id"] is not None else f"none-{task}-{nameless}"
+                    nameless += r["id"] is None
+                    sha1 = base64.b32encode(bytes.fromhex(r["sha1"])).decode()
+                    when = _START + timedelta(seconds=(r["id"] or 0) % 10**9)
+                    held += packed(record(name, r["url"], r["html"], r["refers"], sha1, r["size"], when))
+                    many += 1
+                    if len(held) >= archive_bytes or many >= records_per_file:
+                        yield archive()
+                        held, many = bytearray(), 0
+        if held:
+            yield archive()
+
+    archives = rows.mapInArrow(run, "value binary").select(F.col("value").cast("string").alias("value"))
+    archives.write.option("lineSep", "\0").option("maxRecordsPerFile", 1).text(path)
+
+
+def _member(data: memoryview, at: int, step: int = 1 << 14) -> tuple[bytes, int]:
+    """What the gzip member at a place unpacks to, and where it ends."""
+    one, out = zlib.decompressobj(31), []
+    while not one.eof:
+        if at >= len(data):
+            raise ValueError("the archive ends inside a member")
+        out.append(one.decompress(data[at : at + step]))
+        at += step
+    return b"".join(out), min(at, len(data)) - len(one.unused_data)
+
+
+def _whole(raw: bytes) -> tuple[dict[str, str], bytes] | None:
+    """Header and block of a record, or None if it goes on in the next member."""
+    stop = raw.find(b"\r\n\r\n")
+    if not raw.startswith(b"WARC/"[: len(raw)]):
+        raise ValueError(f"no record: {raw[:40]!r}")
+    if stop < 0:
+        return None
+    head = {k.lower(): v for k, v in (x.split(": ", 1) for x in raw[:stop].decode().split("\r\n")[1:])}
+    end = stop + 4 + int(head["content-length"])
+    if len(raw) < end + 4:
+        return None
+    if raw[end:] != b"\r\n\r\n":
+        raise ValueError("a record doesn't end with its content")
+    return head, raw[stop + 4 : end]
+
+
+def records(data) -> Iterator[tuple[int, int, dict[str, str], bytes]]:
+    """(offset, length, header, block) of each record of an archive; offsets are those of the file, so a record can be read alone."""
+    data, at = memoryview(data), 0
     while at < len(data):
-        stop = data.index(b"\r\n\r\n", at)
-        lines = data[at:stop].decode().split("\r\n")
-        if not lines[0].startswith("WARC/"):
-            raise ValueError(f"no record at {at}: {lines[0][:40]!r}")
-        head = {k.lower(): v for k, v in (x.split(": ", 1) for x in lines[1:])}
-        body = stop + 4
-        end = body + int(head["content-length"])
-        if data[end : end + 4] != b"\r\n\r\n":
-            raise ValueError(f"the record at {at} doesn't end with its content")
-        yield at, end + 4 - at, head, data[body:end]
-        at = end + 4
+        start, raw, found = at, b"", None
+        while found is None:
+            piece, at = _member(data, at)
+            raw += piece
+            found = _whole(raw)
+        yield start, at - start, *found
 
 
-RUN = "run string, rank long, url_key string, captured long, page_id long, url string, record_type string, refers_to long, payload_bytes long, payload_digest string, offset long, length long"
+RUN = (
+    "run string, rank long, url_key string, captured long, page_id long, url string, record_type string, "
+    "refers_to long, payload_bytes long, payload_digest string, offset long, length long"
+)
 
 
 def read_runs(spark: SparkSession, path: str) -> DataFrame:
@@ -115,18 +180,19 @@ def read_runs(spark: SparkSession, path: str) -> DataFrame:
 
     Lengths and digests of responses are taken from the payload itself, and a
     digest that the header gives otherwise is an error; revisits carry those
-    of the payload that they stand for.
+    of the payload that they stand for. A task holds an archive as it is and
+    one unpacked record.
     """
 
     def page(head: dict[str, str], name: str) -> int | None:
         got = head.get(name, "").strip("<>").removeprefix(_ID)
-        return int(got) if got else None
+        return int(got) if got and not got.startswith("none-") else None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for path, data in zip(b.column(0).to_pylist(), b.column(1), strict=True):
                 rows = []
-                for offset, length, head, block in records(gzip.decompress(data.as_buffer())):
+                for offset, length, head, block in records(data.as_buffer()):
                     http, _, payload = block.partition(b"\r\n\r\n")
                     kind, sha1 = head["warc-type"], head["warc-payload-digest"].removeprefix("sha1:")
                     size = next(int(x[15:]) for x in http.split(b"\r\n") if x.lower().startswith(b"content-length:"))
@@ -139,7 +205,8 @@ def read_runs(spark: SparkSession, path: str) -> DataFrame:
                 if rows:
                     columns = [pa.array([path] * len(rows)), pa.array(range(len(rows)), pa.int64())]
                     kinds = [pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64()]
-                    yield pa.RecordBatch.from_arrays(columns + [pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=[x.split()[0] for x in RUN.split(", ")])
+                    columns += [pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)]
+                    yield pa.RecordBatch.from_arrays(columns, names=[x.split()[0] for x in RUN.split(", ")])
 
     files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path).select("path", "content")
     return files.mapInArrow(run, RUN)
@@ -186,13 +253,15 @@ class LoserTree:
             self._replay(run)
 
 
-def merge_index(runs: DataFrame, rows_per_range: int = 1000, most_ranges: int = 20_000) -> DataFrame:
-    """The captures of all runs in global order: range_id, then position, give URL key, time, id.
+def merge_index(runs: DataFrame, rows_per_range: int = 10_000, most_ranges: int = 20_000) -> DataFrame:
+    """The captures of all runs in global order, by URL key, time and id: range_id, position in the range, and place among all.
 
     Range bounds are quantiles of a sample of about 20 keys a range (at most
     ``most_ranges`` ranges); the whole key is unique by file and offset, so a
     URL with very many captures is cut too. Each range's pieces of runs are
-    merged by a loser tree. An empty table gives no rows.
+    merged by a loser tree, in one task's memory: ``rows_per_range`` captures
+    or so, more only beyond the product of both bounds. An empty table gives
+    no rows.
     """
     total = runs.count()
     ranges = max(1, min(most_ranges, -(-total // rows_per_range)))
@@ -216,7 +285,13 @@ def merge_index(runs: DataFrame, rows_per_range: int = 1000, most_ranges: int =
         order = [starts[r] + at for r, at in LoserTree([key[x:y] for x, y in zip(starts, starts[1:], strict=False)])]
         return t.take(pa.array(order, pa.int64())).append_column("position", pa.array(range(len(order)), pa.int64()))
 
-    return runs.mapInArrow(deal, f"{RUN}, range_id long").groupBy("range_id").applyInArrow(merge, f"{RUN}, range_id long, position long")
+    dealt = runs.mapInArrow(deal, f"{RUN}, range_id long")
+    merged = dealt.groupBy("range_id").applyInArrow(merge, f"{RUN}, range_id long, position long")
+    before = F.sum("_n").over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1))  # one row a range
+    sizes = dealt.groupBy(F.col("range_id").alias("_range")).agg(F.count("*").alias("_n"))
+    sizes = sizes.select("_range", F.coalesce(before, F.lit(0)).alias("_before"))
+    merged = merged.join(sizes, F.col("range_id") == F.col("_range")).withColumn("place", F.col("_before") + F.col("position"))
+    return merged.drop("_range", "_before")
 
 
 def archive(pages: DataFrame, path: str | None = None, **kw) -> DataFrame:
