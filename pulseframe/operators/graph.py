@@ -60,6 +60,11 @@ def edges(changes: DataFrame) -> DataFrame:
     return rows.groupBy("src", "dst").agg(F.max_by("time", F.struct("time", "stream", "path_id", "seq")).alias("last_seen"))
 
 
+def degrees(edges: DataFrame) -> DataFrame:
+    """How many edges leave each vertex."""
+    return edges.groupBy("src").agg(F.count("*").alias("degree"))
+
+
 def relabel(edges: DataFrame, aliases: DataFrame) -> DataFrame:
     """Edges after vertices have become one: aliases (uid, canonical). Self loops go, of parallel edges the latest stays."""
     a = aliases.select(F.col("uid").alias("_u"), F.col("canonical").alias("_c"))
@@ -99,6 +104,11 @@ def node_numbers(nodes: DataFrame, numbers: DataFrame) -> DataFrame:
     return nodes.join(numbers.select("node_id", "as_number"), "node_id", "left").withColumn("as_number", F.coalesce("as_number", F.lit(0)))
 
 
+def node_places(nodes: DataFrame, places: DataFrame) -> DataFrame:
+    """Nodes (node_id) with the place that is known of them; those without any are kept."""
+    return nodes.join(places, "node_id", "left")
+
+
 def node_of_ip(ips: DataFrame, nodes: DataFrame) -> DataFrame:
     """IPs with their node, in order of their octets."""
     return ips.join(nodes, "ip", "left").orderBy(ipv4_number(F.col("ip")))

@@ -133,6 +133,11 @@ def mode_buckets(df: DataFrame, top: int = 2) -> DataFrame:
     return rows.withColumn("rank", F.row_number().over(Window.partitionBy("stream").orderBy(F.desc("n"), F.desc("bucket")))).where(F.col("rank") <= top)
 
 
+def counts_by(df: DataFrame, column: str) -> DataFrame:
+    """How many rows there are of each value of a column, such as the measurements' type."""
+    return df.groupBy(column).agg(F.count("*").alias("n"))
+
+
 def enrich(df: DataFrame, meta: DataFrame, on: str = "stream") -> DataFrame:
     """Measurements with their stream's metadata; those without any are dropped. Catalyst broadcasts metadata that is small enough."""
     return df.join(meta, on, "inner")

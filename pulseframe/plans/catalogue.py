@@ -195,7 +195,7 @@ def changepoint_details(spark, sf):
 
 @query("measurement_counts", f"WITH {M()} SELECT stream AS datatype, count(*) AS n FROM m GROUP BY ALL")
 def measurement_counts(spark, sf):
-    return measurements(spark, sf).withColumn("datatype", F.col("stream")).groupBy("datatype").agg(F.count("*").alias("n"))
+    return windows.counts_by(measurements(spark, sf).withColumn("datatype", F.col("stream")), "datatype")
 
 
 def _digits(v: str) -> str:
@@ -393,7 +393,7 @@ def graph_edges(spark, sf):
 
 @query("graph_degree", f"WITH {EDGES} SELECT src, count(*) AS degree FROM x GROUP BY src")
 def graph_degree(spark, sf):
-    return _edges(spark, sf).groupBy("src").agg(F.count("*").alias("degree"))
+    return graph.degrees(_edges(spark, sf))
 
 
 # the largest component by labels that go from neighbour to neighbour
@@ -413,19 +413,28 @@ def graph_prune_last_seen(spark, sf):
     return recent.select("src", "dst", F.unix_millis("last_seen").alias("last_ms"))
 
 
-@query("graph_largest_component", PRUNED.format(age=14 * 86400 * 1000))
+# every component has a supplier, so searching from those finds all
+WHOLE = f"""WITH RECURSIVE {EDGES}, b AS (SELECT src AS a, dst AS b FROM x UNION ALL SELECT dst, src FROM x),
+    c AS (SELECT DISTINCT src AS origin, src AS node FROM x UNION SELECT c.origin, b.b FROM c JOIN b ON c.node = b.a),
+    l AS (SELECT node, min(origin) AS label FROM c GROUP BY node),
+    n AS (SELECT label, count(*) AS n, min(node) AS least FROM l GROUP BY label ORDER BY n DESC, least LIMIT 1)
+    SELECT src, dst, last_ms FROM x JOIN l ON l.node = x.src JOIN n USING (label)"""
+
+
+@query("graph_largest_component", WHOLE)
 def graph_largest_component(spark, sf):
-    """Of all edges, while the SQL keeps those of the last 14 days."""
     return graph.largest_component(_edges(spark, sf)).select("src", "dst", F.unix_millis("last_seen").alias("last_ms"))
 
 
-@query("stream_distance", f"""WITH RECURSIVE {EDGES}, k AS (SELECT src, dst FROM x, latest WHERE last_ms >= t - {30 * 86400 * 1000}),
-    b AS (SELECT src AS a, dst AS b FROM k UNION SELECT dst, src FROM k),
-    h AS (SELECT DISTINCT src AS origin, src AS node, 0 AS d FROM k UNION SELECT h.origin, b.b, d + 1 FROM h JOIN b ON h.node = b.a WHERE d < 4),
-    s AS (SELECT origin, node, min(d) AS d FROM h WHERE node[1] = 'S' GROUP BY ALL)
-    SELECT origin AS a, node AS b, 2.0::DOUBLE * d AS distance FROM s WHERE origin <> node""")
+# each step goes on from what is reached for the first time, so the search ends when nothing new is
+@query("stream_distance", f"""WITH RECURSIVE {EDGES}, b AS (SELECT src AS a, dst AS b FROM x UNION ALL SELECT dst, src FROM x),
+    h(origin, node, d) USING KEY (origin, node) AS (
+        SELECT DISTINCT src, src, 0 FROM x
+        UNION
+        SELECT DISTINCT h.origin, b.b, h.d + 1 FROM h JOIN b ON h.node = b.a LEFT JOIN recurring.h AS old ON old.origin = h.origin AND old.node = b.b WHERE old.node IS NULL)
+    SELECT origin AS a, node AS b, 2.0::DOUBLE * d AS distance FROM h WHERE node[1] = 'S' AND origin <> node""")
 def stream_distance(spark, sf):
-    """Of all suppliers by all edges, however far apart, while the SQL keeps edges of the last 30 days and 4 hops."""
+    """Of all suppliers by all edges, however far apart."""
     edges = _edges(spark, sf).select("src", "dst")
     metas = edges.select(F.col("src").alias("stream"), F.col("src").alias("source"), F.col("src").alias("destination")).distinct()
     return graph.stream_distances(edges, metas)

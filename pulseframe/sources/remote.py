@@ -161,20 +161,48 @@ def as_measurements(rows: DataFrame) -> DataFrame:
 # REST archive: which streams there are, and what to ask for next.
 
 
-def discover(archives: DataFrame, source: str | None = None, destination: str | None = None, agent: str | None = None, tool: str | None = None, event_types: list[str] | None = None, summary_type: str | None = None, summary_window: int | None = None) -> DataFrame:
-    """Archive listings (source, destination, measurement_agent, tool_name, event_types with summaries) as time series: base ones and summaries, each uri once."""
+def discover(
+    archives: DataFrame,
+    source: str | None = None,
+    destination: str | None = None,
+    agent: str | None = None,
+    tool: str | None = None,
+    event_types: list[str] | None = None,
+    summary_type: str | None = None,
+    summary_window: int | None = None,
+    time_start: int | None = None,
+    time_end: int | None = None,
+    limit: int | None = None,
+    offset: int = 0,
+) -> DataFrame:
+    """Archive listings (source, destination, measurement_agent, tool_name, event_types with summaries) as time series: base ones and summaries, each uri once.
+
+    ``time_start`` and ``time_end`` bound when an event type was last updated
+    (time_updated, epoch seconds). ``limit`` and ``offset`` page the archives
+    that the other filters leave, in order of their uri.
+    """
     for column, wanted in (("source", source), ("destination", destination), ("measurement_agent", agent), ("tool_name", tool)):
         if wanted is not None:
             archives = archives.where(F.col(column) == wanted)
+    if limit is not None or offset:
+        archives = archives.orderBy("uri").offset(offset)
+        archives = archives if limit is None else archives.limit(limit)
     e = archives.select("source", "destination", F.explode("event_types").alias("e"))
     if event_types:
         e = e.where(F.col("e.event_type").isin(event_types))
-    base = e.select("source", "destination", F.col("e.event_type").alias("event_type"), F.col("e.base_uri").alias("uri"), F.lit(None).cast("string").alias("summary_type"), F.lit(None).cast("long").alias("summary_window"))
+    if time_start is not None:
+        e = e.where(F.col("e.time_updated") >= time_start)
+    if time_end is not None:
+        e = e.where(F.col("e.time_updated") <= time_end)
+    none = F.lit(None).cast("string").alias("summary_type"), F.lit(None).cast("long").alias("summary_window")
+    base = e.select("source", "destination", F.col("e.event_type").alias("event_type"), F.col("e.base_uri").alias("uri"), *none)
     s = e.select("source", "destination", F.col("e.event_type").alias("event_type"), F.explode("e.summaries").alias("s"))
-    more = s.select("source", "destination", "event_type", F.col("s.uri").alias("uri"), F.col("s.summary_type").alias("summary_type"), F.col("s.summary_window").cast("long").alias("summary_window"))
+    window = F.col("s.summary_window").cast("long").alias("summary_window")
+    more = s.select("source", "destination", "event_type", F.col("s.uri").alias("uri"), F.col("s.summary_type").alias("summary_type"), window)
     if summary_type is not None or summary_window is not None:
-        base = base.limit(0)
-        more = more.where((F.lit(summary_type).isNull() | (F.col("summary_type") == summary_type)) & (F.lit(summary_window).isNull() | (F.col("summary_window") == summary_window)))
+        base = base.where("false")
+        more = more if summary_type is None else more.where(F.col("summary_type") == summary_type)
+        more = more if summary_window is None else more.where(F.col("summary_window") == summary_window)
     return base.unionByName(more).dropDuplicates(["uri"])
 
 
