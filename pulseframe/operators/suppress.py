@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from bisect import bisect_left, bisect_right, insort
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -34,14 +35,12 @@ def start(configs: tuple[Frequency, ...] = DEFAULTS) -> dict:
 def step(state: dict, event: Event, configs: tuple[Frequency, ...] = DEFAULTS) -> list[Event]:
     """The bulk events that this one sets off, then the event itself if no configuration suppresses it."""
     now, longest = event.time_ms, max((c.interval for c in configs), default=0)
-    state["times"] = [t for t in [*state["times"], now] if t >= now - longest * 1000]
+    times = state["times"]  # in order, so that what lies inside an interval is found by halving
+    insort(times, now)
+    del times[: bisect_left(times, now - longest * 1000)]
     out = []
     for c in configs:
-        inside = 0
-        for t in reversed(state["times"]):  # from the end, as long as they lie inside
-            if t <= now - c.interval * 1000:
-                break
-            inside += 1
+        inside = bisect_right(times, now) - bisect_right(times, now - c.interval * 1000)
         triggered, off = inside > c.count, state["off"][c.name]
         if triggered and off is None:
             out.append(Event(f"bulk_{event.event_type}", c.severity, now, 0, f'Frequent events of type {event.event_type} - configuration name "{c.name} ({c.count} events in {c.interval:g} seconds)"'))

@@ -7,6 +7,7 @@ from dataclasses import dataclass, field
 from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.streaming.query import StreamingQuery
 
 from pulseframe import config
 from pulseframe.operators import grouping, runtime, suppress
@@ -137,8 +138,11 @@ class Builder:
                         raise ValueError(f"{ref.datatype} has no value for {kind}")
                 rows = runtime.union_all([self.source(flow, ref).select("stream", "time", "seq", "value", "is_lossy") for ref in i.sources])
                 # a batch is sorted by time, so time windows give the same events there
-                found = streaming.detect_stream(rows, detector, seconds if windowed and kind != "distdiff" else None, lateness) if self.stream else runtime.detect(rows, detector)
-                found = streaming.suppress_stream(found, filters) if self.stream else suppress.suppress(found, filters)
+                if self.stream:
+                    width = seconds if windowed and kind != "distdiff" else None
+                    found = streaming.detect_stream(rows, detector, width, lateness, filters)
+                else:
+                    found = suppress.suppress(runtime.detect(rows, detector), filters)
                 for s in i.sinks:
                     out[s].append(found)
         return {s: runtime.union_all(parts) for s, parts in out.items() if parts}
@@ -147,20 +151,67 @@ class Builder:
         times = self.settings["eventGrouping"]["time"]
         return grouping.with_uid(grouping.temporal_groups(events, times["maximumEventInterval"], times["maximumGroupDuration"]))
 
+    def _write(self, flow: Flow, name: str, events: DataFrame, out: str) -> None:
+        """Events of a batch, or of a part of a stream, to where a sink says."""
+        kind, path = flow.sinks[name]["type"], self._path(flow, name, out)
+        if kind == "print":
+            sinks.show(events)
+        elif kind == "parquet":
+            events.write.mode("append").parquet(path)
+        elif kind == "csv":
+            sinks.write_events_csv(events, path)
+        else:
+            sinks.write_lines(events, f"{path}/events")
+
+    def _write_groups(self, groups: DataFrame, path: str) -> None:
+        """Groups as lines, and their events tagged with them."""
+        sinks.write_lines(grouping.aggregates(groups), f"{path}/event_groups", "groups")
+        sinks.write_lines(grouping.in_group(groups), f"{path}/events_in_groups")
+
+    @staticmethod
+    def _path(flow: Flow, name: str, out: str) -> str:
+        return f"{(flow.sinks[name].get('config') or {}).get('path', out)}/{name}"
+
     def run(self, flow: Flow, out: str) -> dict[str, DataFrame]:
         """Runs a batch flow: each sink's events go where it says, influx sinks also get groups, and the events tagged with theirs. Gives the events by sink."""
+        if self.stream:
+            raise ValueError("a streaming flow is started with start()")
         found = self.events(flow)
         for name, events in found.items():
-            kind, path = flow.sinks[name]["type"], f"{(flow.sinks[name].get('config') or {}).get('path', out)}/{name}"
-            if kind == "print":
-                sinks.show(events)
-            elif kind == "parquet":
-                events.write.mode("append").parquet(path)
-            elif kind == "csv":
-                sinks.write_events_csv(events, path)
-            else:
-                sinks.write_lines(events, f"{path}/events")
-                groups = self.groups(events)
-                sinks.write_lines(grouping.aggregates(groups), f"{path}/event_groups", "groups")
-                sinks.write_lines(grouping.in_group(groups), f"{path}/events_in_groups")
+            self._write(flow, name, events, out)
+            if flow.sinks[name]["type"] == "influx":
+                self._write_groups(self.groups(events), self._path(flow, name, out))
         return found
+
+    def start(self, flow: Flow, out: str, once: bool = False) -> list[StreamingQuery]:
+        """Starts a streaming flow and gives its queries; started again with the same ``out``, it goes on where it was.
+
+        Each sink's events are first written to a table of their own, exactly
+        once; one query brings them to the sink, and for influx sinks another
+        groups them, so no query has two stateful steps in a row. ``once``
+        takes what is there and ends, each query after the one that it follows.
+        """
+        self.spark.conf.set("spark.sql.streaming.stateStore.providerClass", streaming.STATE_STORE)
+        times = self.settings["eventGrouping"]["time"]
+        # events of windows come once the watermark has passed their window, so groups wait for the longest one besides
+        widths = [d[2] for kind, instances in flow.detectors.values() for i in instances if (d := self.detector(kind, i))[1] and kind != "distdiff"]
+        lateness = f"{2 * self.settings['flink']['maxLateness'] + max(widths, default=0):g} seconds"
+        queries: list[StreamingQuery] = []
+
+        def go(df: DataFrame, name: str, write=None) -> None:
+            writer = df.writeStream.option("checkpointLocation", f"{out}/checkpoints/{name}").queryName(name).outputMode("append")
+            writer = writer.foreachBatch(write) if write else writer.format("parquet").option("path", f"{out}/found/{name}")
+            queries.append((writer.trigger(availableNow=True) if once else writer).start())
+            if once:
+                queries[-1].awaitTermination()
+
+        for name, events in self.events(flow).items():
+            go(events, name)
+            schema = events.schema
+            follow = lambda name=name, schema=schema: self.spark.readStream.schema(schema).parquet(f"{out}/found/{name}")
+            go(follow(), f"{name}-sink", lambda part, _, name=name: self._write(flow, name, part, out))
+            if flow.sinks[name]["type"] == "influx":
+                path = self._path(flow, name, out)
+                grouped = streaming.group_stream(follow(), times["maximumEventInterval"], times["maximumGroupDuration"], lateness=lateness)
+                go(grouped, f"{name}-groups", lambda part, _, path=path: self._write_groups(grouping.with_uid(streaming.as_groups(part)), path))
+        return queries

@@ -46,49 +46,66 @@ class _Keyed(StatefulProcessor):
 
 
 class DetectorProcessor(_Keyed):
-    def __init__(self, detector: Detector, window_ms: int = 0):
-        self._detector, self._window = detector, window_ms
+    """A detector over one stream, and on request the suppression of its frequent events, which goes by the same key."""
+
+    def __init__(self, detector: Detector, window_ms: int = 0, configs=None):
+        self._detector, self._window, self._configs = detector, window_ms, configs
+
+    def _fresh(self) -> dict:
+        return {"d": self._detector.start(), "held": [], "f": None if self._configs is None else frequency.start(self._configs)}
+
+    def _step(self, saved: dict, rows: list) -> list[Event]:
+        out = []
+        for t, _, v, x in rows:
+            found = self._detector.step(saved["d"], t, v, x)
+            if self._configs is not None:
+                found = sorted(found, key=lambda e: (e.time_ms, e.event_type, e.description))
+                found = [y for e in found for y in frequency.step(saved["f"], e, self._configs)]
+            out += found
+        return out
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        saved = self._load({"d": self._detector.start(), "held": []})
+        saved = self._load(self._fresh())
         arrived = [[int(t), int(s), None if v is None or pd.isna(v) else float(v), bool(x)] for f in rows for t, s, v, x in zip(f["ms"], f["seq"], f["value"], f["is_lossy"], strict=True)]
         arrived.sort(key=lambda r: (r[0], r[1]))
+        events = []
         if not self._window:
-            events = [e for t, _, v, x in arrived for e in self._detector.step(saved["d"], t, v, x)]
-            self._save(saved)
-            if events:
-                yield _frame([(key[0], e) for e in events])
-            return
-        passed = timerValues.getCurrentWatermarkInMs()
-        for r in arrived:
-            end = (r[0] // self._window + 1) * self._window
-            if end > passed:
-                saved["held"].append(r)
-                self._handle.registerTimer(end)
+            events = self._step(saved, arrived)
+        else:
+            passed = timerValues.getCurrentWatermarkInMs()
+            for r in arrived:
+                end = (r[0] // self._window + 1) * self._window
+                if end > passed:
+                    saved["held"].append(r)
+                    self._handle.registerTimer(end)
         self._save(saved)
+        if events:
+            yield _frame([(key[0], e) for e in events])
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         end = expiredTimerInfo.getExpiryTimeInMs()
-        saved = self._load({"d": self._detector.start(), "held": []})
+        saved = self._load(self._fresh())
         due = sorted((r for r in saved["held"] if r[0] < end), key=lambda r: (r[0], r[1]))
         saved["held"] = [r for r in saved["held"] if r[0] >= end]
-        events = [e for t, _, v, x in due for e in self._detector.step(saved["d"], t, v, x)]
+        events = self._step(saved, due)
         self._save(saved)
         if events:
             yield _frame([(key[0], e) for e in events])
 
 
-def detect_stream(measurements: DataFrame, detector: Detector, window_s: float | None = None, lateness: str = "20 seconds") -> DataFrame:
+def detect_stream(measurements: DataFrame, detector: Detector, window_s: float | None = None, lateness: str = "20 seconds", configs=None) -> DataFrame:
     """The detector's events over a stream of measurements. ``window_s`` holds rows back by event-time windows; without, they go as they arrive.
 
+    With ``configs`` the events of each stream are suppressed by frequency as
+    they are found, in the same step, so no second stateful step is needed.
     The session needs the RocksDB state store (``STATE_STORE``).
     """
     rows = measurements.where("time is not null").withWatermark("time", lateness)
     value = F.col("value") if "value" in measurements.columns else F.lit(None).cast("double")
     rows = rows.select("time", "stream", F.unix_millis("time").alias("ms"), "seq", value.alias("value"), "is_lossy")
-    processor = DetectorProcessor(detector, round((window_s or 0) * 1000))
-    raw = rows.groupBy("stream").transformWithStateInPandas(statefulProcessor=processor, outputStructType=_RAW, outputMode="Append", timeMode="EventTime" if window_s else "None")
-    return timed(raw)
+    processor = DetectorProcessor(detector, round((window_s or 0) * 1000), configs)
+    mode = "EventTime" if window_s else "None"
+    return timed(rows.groupBy("stream").transformWithStateInPandas(statefulProcessor=processor, outputStructType=_RAW, outputMode="Append", timeMode=mode))
 
 
 class SuppressProcessor(_Keyed):
@@ -115,39 +132,86 @@ def suppress_stream(events: DataFrame, configs=frequency.DEFAULTS) -> DataFrame:
 GROUPS = "key string, start_ms long, end_ms long, events string"
 
 
-class GroupProcessor(_Keyed):
-    """Groups by gap and longest duration; a timer closes a group when the watermark says that nothing more can join it."""
+class GroupProcessor(StatefulProcessor):
+    """Groups by gap and longest duration.
+
+    Events wait until the watermark has passed them, so that groups are made
+    in order of time whichever batch brings an event; a group is closed when
+    nothing more can join it. What waits and the members of the open group are
+    lists in the state store, which a batch only adds to.
+    """
 
     def __init__(self, gap_ms: int, longest_ms: int):
         self._gap, self._longest = gap_ms, longest_ms
 
-    def _close(self, key, group) -> pd.DataFrame:
-        return pd.DataFrame([(key[0], group["start"], group["end"], json.dumps(group["events"]))], columns=["key", "start_ms", "end_ms", "events"])
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self._handle = handle
+        self._waiting = handle.getListState("waiting", "began long, event string")
+        self._span = handle.getValueState("span", "start long, end long")
+        self._members = handle.getListState("members", "event string")
+
+    def close(self) -> None:
+        pass
+
+    def _closed(self, key, start: int, end: int) -> pd.DataFrame:
+        events = sorted((json.loads(m[0]) for m in self._members.get()), key=lambda e: (e["began_ms"], e["stream"], e["event_type"]))
+        self._members.clear()
+        self._span.clear()
+        return pd.DataFrame([(key[0], start, end, json.dumps(events))], columns=["key", "start_ms", "end_ms", "events"])
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        group = self._load(None)
-        arrived = sorted((int(r.began), r.event) for f in rows for r in f.itertuples())
-        for began, event in arrived:
-            if group and (began > group["end"] + self._gap or began - group["start"] > self._longest):
-                yield self._close(key, group)
-                group = None
-            if group is None:
-                group = {"start": began, "end": began, "events": []}
-            group = {"start": min(group["start"], began), "end": max(group["end"], began), "events": [*group["events"], json.loads(event)]}
-        if group:
-            self._save(group)
-            self._handle.registerTimer(min(group["end"] + self._gap, group["start"] + self._longest) + 1)
+        for f in rows:
+            for began, event in zip(f["began"], f["event"], strict=True):
+                self._waiting.appendValue((int(began), event))
+                self._handle.registerTimer(max(int(began), timerValues.getCurrentWatermarkInMs()) + 1)
+        return iter(())
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        group = self._load(None)
-        if group and min(group["end"] + self._gap, group["start"] + self._longest) < expiredTimerInfo.getExpiryTimeInMs():
-            self._state.clear()
-            yield self._close(key, group)
+        now = expiredTimerInfo.getExpiryTimeInMs()
+        waiting = [(int(w[0]), w[1]) for w in self._waiting.get()]
+        due = sorted(w for w in waiting if w[0] < now)
+        if due:
+            self._waiting.clear()
+            for w in waiting:
+                if w[0] >= now:
+                    self._waiting.appendValue(w)
+        span = self._span.get() if self._span.exists() else None
+        span = None if span is None else (int(span[0]), int(span[1]))
+        for began, event in due:
+            if span and (began > span[1] + self._gap or began - span[0] > self._longest):
+                yield self._closed(key, *span)
+                span = None
+            span = (min(span[0], began), max(span[1], began)) if span else (began, began)
+            self._members.appendValue((event,))
+            self._span.update(span)
+        if span:
+            last = min(span[1] + self._gap, span[0] + self._longest)
+            if last < now:
+                yield self._closed(key, *span)
+            else:
+                self._handle.registerTimer(last + 1)
+
+
+MEMBER = "array<struct<event_type:string,stream:string,severity:int,time_ms:bigint,detection_latency:bigint,description:string,tags:map<string,string>>>"
 
 
 def group_stream(events: DataFrame, gap_s: float = 10, longest_s: float = 7200, key: str | None = None, lateness: str = "20 seconds") -> DataFrame:
-    """Groups of events of a stream: key, start_time, end_time, events (JSON). Without a key all events make one sequence, as the operator asks."""
+    """Groups of events of a stream: key, start_time, end_time, events (JSON). Without a key all events make one sequence, as the operator asks.
+
+    ``events`` must come from a source, not from another stateful step of the
+    same query: what is found is first written, and followed from there.
+    """
     began = F.unix_millis("time") - F.floor(F.col("detection_latency") / 1_000_000)
-    rows = events.withWatermark("time", lateness).select("time", (F.lit("") if key is None else F.col(key)).alias("key"), began.alias("began"), F.to_json(F.struct("event_type", "stream", "severity", F.unix_millis("time").alias("time_ms"), "detection_latency", "description", "tags")).alias("event"))
-    raw = rows.groupBy("key").transformWithStateInPandas(statefulProcessor=GroupProcessor(round(gap_s * 1000), round(longest_s * 1000)), outputStructType=GROUPS, outputMode="Append", timeMode="EventTime")
+    member = F.struct("event_type", "stream", "severity", F.unix_millis("time").alias("time_ms"), began.alias("began_ms"), "detection_latency", "description", "tags")
+    name = (F.lit("") if key is None else F.col(key)).alias("key")
+    rows = events.withWatermark("time", lateness).select("time", name, began.alias("began"), F.to_json(member).alias("event"))
+    processor = GroupProcessor(round(gap_s * 1000), round(longest_s * 1000))
+    raw = rows.groupBy("key").transformWithStateInPandas(statefulProcessor=processor, outputStructType=GROUPS, outputMode="Append", timeMode="EventTime")
     return raw.select("key", F.timestamp_millis("start_ms").alias("start_time"), F.timestamp_millis("end_ms").alias("end_time"), "events")
+
+
+def as_groups(rows: DataFrame) -> DataFrame:
+    """What group_stream gives, with events as the batch operator has them."""
+    members = F.from_json("events", MEMBER)
+    one = lambda e: F.struct(e["event_type"].alias("event_type"), e["stream"].alias("stream"), e["severity"].alias("severity"), F.timestamp_millis(e["time_ms"]).alias("time"), e["detection_latency"].alias("detection_latency"), e["description"].alias("description"), F.coalesce(e["tags"], F.create_map().cast("map<string,string>")).alias("tags"))
+    return rows.select("start_time", "end_time", F.transform(members, one).alias("events"))
