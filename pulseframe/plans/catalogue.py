@@ -111,12 +111,6 @@ def baseline_stepwise(spark, sf):
     return plain(runtime.detect(runtime.not_lossy(measurements(spark, sf)), D.Baseline(threshold=5, inactivity=WEEK)))
 
 
-@query("window_wrapper_tumbling", BASELINE)
-def window_wrapper_tumbling(spark, sf):
-    """Over a batch, which is sorted, feeding a detector by windows of a day is the detector itself."""
-    return baseline_stepwise(spark, sf)
-
-
 @query("baseline_percentile", f"""WITH {M()},
     l AS (SELECT *, list_sort(list(value) OVER (PARTITION BY stream ORDER BY ms, seq ROWS 49 PRECEDING)) AS v FROM m WHERE NOT lossy),
     p AS (SELECT *, len(v) AS n, 50 * (len(v) + 1) / 100.0 AS pos FROM l)

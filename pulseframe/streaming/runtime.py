@@ -163,11 +163,15 @@ class GroupProcessor(StatefulProcessor):
         for f in rows:
             for began, event in zip(f["began"], f["event"], strict=True):
                 self._waiting.appendValue((int(began), event))
-                self._handle.registerTimer(max(int(began), timerValues.getCurrentWatermarkInMs()) + 1)
+        self._wake(timerValues)
         return iter(())
 
+    def _wake(self, timerValues) -> None:
+        """One timer a batch: it goes off as soon as the watermark moves."""
+        self._handle.registerTimer(timerValues.getCurrentWatermarkInMs() + 1)
+
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        now = expiredTimerInfo.getExpiryTimeInMs()
+        now = timerValues.getCurrentWatermarkInMs()
         waiting = [(int(w[0]), w[1]) for w in self._waiting.get()]
         due = sorted(w for w in waiting if w[0] < now)
         if due:
@@ -183,13 +187,14 @@ class GroupProcessor(StatefulProcessor):
                 span = None
             span = (min(span[0], began), max(span[1], began)) if span else (began, began)
             self._members.appendValue((event,))
+        open_ = span is not None
+        if open_ and min(span[1] + self._gap, span[0] + self._longest) < now:
+            yield self._closed(key, *span)
+            open_ = False
+        elif open_:
             self._span.update(span)
-        if span:
-            last = min(span[1] + self._gap, span[0] + self._longest)
-            if last < now:
-                yield self._closed(key, *span)
-            else:
-                self._handle.registerTimer(last + 1)
+        if open_ or len(due) < len(waiting):
+            self._wake(timerValues)
 
 
 MEMBER = "array<struct<event_type:string,stream:string,severity:int,time_ms:bigint,detection_latency:bigint,description:string,tags:map<string,string>>>"
