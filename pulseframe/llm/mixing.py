@@ -150,10 +150,11 @@ def plan_mix(
     before = of.orderBy(F.col("_cell").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, -1)
     cell = cell.withColumns({"_start": F.coalesce(F.sum("_words").over(before), F.lit(0)), "_sure": F.sum("_sure").over(of)})
     cell = cell.select(F.col("_source").alias("_cs"), F.col("_cell").alias("_cc"), "_start", "_sure")
-    rows = rows.join(cell, F.col("_source").eqNullSafe(F.col("_cs")) & F.col("_cell").eqNullSafe(F.col("_cc"))).drop("_cs", "_cc")
+    # rows without a draw need no place in it, and would all meet in one cell
+    sampled = rows.where("_q is not null").join(cell, F.col("_source").eqNullSafe(F.col("_cs")) & (F.col("_cell") == F.col("_cc"))).drop("_cs", "_cc")
     order = Window.partitionBy("_source", "_cell").orderBy("_q", "_size", "_of", "_id", "_row")
     upto = F.col("_start") + F.sum("_size").over(order.rowsBetween(Window.unboundedPreceding, 0))
-    sampled = rows.where("_q is not null").withColumn("_end", upto)
+    sampled = sampled.withColumn("_end", upto)
     rest = F.col("target") - F.col("_sure")
     sampled = written(sampled.withColumn("_in", F.col("_end") - F.col("_size") / 2.0 <= rest).withColumn("_rest", rest), "drawn")
     # the one document that comes nearest to closing the gap
