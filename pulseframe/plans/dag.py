@@ -105,8 +105,11 @@ class Builder:
             reader = self.spark.readStream.schema(self.spark.read.parquet(options["path"]).schema) if self.stream else self.spark.read
             return reader.parquet(options["path"])
         if kind == "influx" and "url" in options:
-            table = datatype(ref.datatype, spec.get("subtype", "amp")).table
-            return (remote.poll if self.stream else remote.history)(self.spark, table, url=options["url"])
+            kind_ = datatype(ref.datatype, spec.get("subtype", "amp"))
+            return (remote.typed_poll if self.stream else remote.typed_history)(self.spark, kind_, url=options["url"])
+        if kind == "esmond" and "url" in options:
+            documents = remote.archive_documents(self.spark, list(options["uris"]), stream=self.stream, url=options["url"])
+            return files.esmond(documents, ref.datatype)
         raw = files.lines(self.spark, options["location"] if "location" in options else options["path"], {"latencyts": "*.series", "nab": "*.csv"}.get(kind), self.stream)
         if kind == "influx":
             return files.line_measurements(raw, datatype(ref.datatype, spec.get("subtype", "amp")))

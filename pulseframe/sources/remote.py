@@ -16,7 +16,9 @@ from typing import Any, Protocol
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, GreaterThan, InputPartition, LessThanOrEqual, SimpleDataSourceStreamReader
+from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, EqualTo, GreaterThan, InputPartition, LessThanOrEqual
+
+from pulseframe.sources.datatypes import Datatype, datatype, measured
 
 
 class Transport(Protocol):
@@ -24,22 +26,32 @@ class Transport(Protocol):
         """The rows that answer a request."""
 
 
+PLAIN = ("value", "lossy")
+
+
 @dataclass
 class FileTransport:
-    """Answers history requests from a JSON-lines file of rows, which tests and offline runs can write: {"table", "time_ms", "stream", "value", ...}."""
+    """Answers from a JSON-lines file of rows, which tests and offline runs can write: {"table", "time_ms", "stream", "value", ...}; documents have "uri" and "ts"."""
 
     path: str
 
     def fetch(self, request: dict[str, Any]) -> list[tuple]:
         rows = [json.loads(x) for x in Path(self.path).read_text().splitlines() if x]
         low, high = request.get("after"), request.get("until")
-        rows = [r for r in rows if r["table"] == request["table"] and (low is None or r["time_ms"] > low) and (high is None or r["time_ms"] <= high) and request.get("stream") in (None, r["stream"])]
-        return [(r["stream"], r["time_ms"], r.get("value"), bool(r.get("lossy", False))) for r in sorted(rows, key=lambda r: r["time_ms"])]
+        time_of = lambda r: r["ts"] * 1000 if "uri" in request else r["time_ms"]
+        name = "uri" if "uri" in request else "table"
+        rows = [r for r in rows if r.get(name) == request[name]]
+        rows = [r for r in rows if (low is None or time_of(r) > low) and (high is None or time_of(r) <= high)]
+        rows = [r for r in rows if request.get("stream") in (None, r.get("stream"))]
+        rows.sort(key=time_of)
+        if "uri" in request:
+            return [(r["ts"], r["val"]) for r in rows]
+        return [(r["stream"], r["time_ms"], *(r.get(f) for f in request.get("fields") or PLAIN)) for r in rows]
 
 
 @dataclass
 class HttpTransport:
-    """GETs a query endpoint that answers with JSON rows [stream, time_ms, value, lossy]."""
+    """GETs a query endpoint that answers with JSON rows [stream, time_ms, *fields], or of a document's uri with rows [ts, val]."""
 
     url: str
     timeout_s: float = 30
@@ -48,19 +60,56 @@ class HttpTransport:
         from urllib.parse import urlencode
         from urllib.request import urlopen
 
-        query = urlencode({k: v for k, v in request.items() if v is not None})
-        with urlopen(f"{self.url}?{query}", timeout=self.timeout_s) as r:
+        asked = {k: ",".join(v) if isinstance(v, (list, tuple)) else v for k, v in request.items() if v is not None}
+        with urlopen(f"{self.url}?{urlencode(asked)}", timeout=self.timeout_s) as r:
             return [tuple(x) for x in json.load(r)]
 
 
 ROW = "stream string, time_ms long, value double, is_lossy boolean"
+_SQL = {"int": "long", "float": "double", "bool": "boolean", "string": "string", "rtts": "array<int>"}
+_MAKE = {"int": int, "float": float, "bool": bool, "string": str, "rtts": list}
+
+
+def _kind(options) -> Datatype | None:
+    return datatype(options["datatype"], options.get("family") or "amp") if options.get("datatype") else None
+
+
+def _columns(kind: Datatype) -> dict[str, str]:
+    return dict.fromkeys(kind.tags, "string") | kind.fields
 
 
 @dataclass
 class _Range(InputPartition):
     after: int | None
     until: int | None
-    stream: str | None
+    stream: str | None = None
+    uri: str | None = None
+
+
+def _ranges(after: int, until: int, n: int, **more) -> list[_Range]:
+    """Equal ranges of time, each half open at its start."""
+    n = max(1, min(n, until - after))
+    ends = [after + (until - after) * i // n for i in range(n + 1)]
+    return [_Range(a, b, **more) for a, b in zip(ends, ends[1:], strict=False) if a < b]
+
+
+def _rows(options, partition: _Range) -> Iterator[tuple]:
+    """The rows of a range, fetched where the task runs: plain, of a type's fields, or a document for each endpoint."""
+    transport = FileTransport(options["path"]) if options.get("path") else HttpTransport(options["url"])
+    request = {"after": partition.after, "until": partition.until, "stream": partition.stream}
+    if partition.uri is not None:
+        found = transport.fetch(request | {"uri": partition.uri})
+        if found:
+            yield partition.uri, json.dumps([{"ts": t, "val": v} for t, v in found])
+        return
+    kind = _kind(options)
+    if kind is None:
+        for stream, t, value, lossy in transport.fetch(request | {"table": options["table"]}):
+            yield str(stream), int(t), None if value is None else float(value), bool(lossy)
+        return
+    columns = _columns(kind)
+    for stream, t, *cells in transport.fetch(request | {"table": kind.table, "fields": list(columns)}):
+        yield str(stream), int(t), *(None if c is None else _MAKE[k](c) for c, k in zip(cells, columns.values(), strict=True))
 
 
 class _Reader(DataSourceReader):
@@ -79,19 +128,26 @@ class _Reader(DataSourceReader):
                 yield f
 
     def partitions(self):
-        """Equal ranges of time, each half open at its start; one range if an end is open."""
+        """Equal ranges of time; one range if an end is open. Of documents, one for each endpoint."""
+        if self.options.get("uris"):
+            return [_Range(self.after, self.until, uri=u) for u in json.loads(self.options["uris"])]
         n = _int(self.options, "partitions") or 1
         if self.after is None or self.until is None or n == 1:
             return [_Range(self.after, self.until, self.stream)]
-        ends = [self.after + (self.until - self.after) * i // n for i in range(n + 1)]
-        return [_Range(a, b, self.stream) for a, b in zip(ends, ends[1:], strict=False)]
+        return _ranges(self.after, self.until, n, stream=self.stream)
 
     def read(self, partition):
-        yield from _transport(self.options).fetch({"table": self.options["table"], "after": partition.after, "until": partition.until, "stream": partition.stream})
+        yield from _rows(self.options, partition)
 
 
-class _StreamReader(SimpleDataSourceStreamReader):
-    """Polls what is new; the offset is the last time seen. Every poll ends ``delay`` ms before now, for rows that come late."""
+class _StreamReader(DataSourceStreamReader):
+    """Follows what is new by ranges of time, read by tasks: nothing is fetched on the driver.
+
+    An offset is the time up to which rows have been asked for, in whole steps
+    of ``step`` ms and ``delay`` ms before now, for rows that come late. A
+    range is cut into parts of ``range`` ms, at most ``partitions`` of them;
+    documents are asked for by endpoint.
+    """
 
     def __init__(self, options):
         self.options = options
@@ -99,40 +155,52 @@ class _StreamReader(SimpleDataSourceStreamReader):
     def initialOffset(self):
         return {"after": _int(self.options, "after") or 0}
 
-    def read(self, start):
+    def latestOffset(self):
+        step = _int(self.options, "step") or 10_000
         now = _int(self.options, "now") or int(time.time() * 1000)
-        rows = self._rows(start["after"], now - (_int(self.options, "delay") or 0))
-        return iter(rows), {"after": max([start["after"], *(r[1] for r in rows)])}
+        return {"after": max(self.initialOffset()["after"], (now - (_int(self.options, "delay") or 0)) // step * step)}
 
-    def readBetweenOffsets(self, start, end) -> Iterator[tuple]:
-        return iter(self._rows(start["after"], end["after"]))
+    def partitions(self, start, end):
+        after, until = start["after"], end["after"]
+        if until <= after:
+            return []
+        if self.options.get("uris"):
+            return [_Range(after, until, uri=u) for u in json.loads(self.options["uris"])]
+        n = min(_int(self.options, "partitions") or 64, -(-(until - after) // (_int(self.options, "range") or 3_600_000)))
+        return _ranges(after, until, n)
 
-    def _rows(self, after: int, until: int) -> list[tuple]:
-        return _transport(self.options).fetch({"table": self.options["table"], "after": after, "until": until})
+    def read(self, partition):
+        yield from _rows(self.options, partition)
 
 
 def _int(options, name: str) -> int | None:
     return int(options[name]) if options.get(name) is not None else None
 
 
-def _transport(options) -> Transport:
-    return FileTransport(options["path"]) if options.get("path") else HttpTransport(options["url"])
-
-
 class History(DataSource):
-    """spark.read.format("measurements"): times in (after, until], pushed down; options table, path or url, after, until, partitions."""
+    """spark.read.format("measurements"): times in (after, until], pushed down.
+
+    Options: path or url; table, or datatype and family for a type's own
+    columns, or uris (a JSON list) for documents; after, until, partitions;
+    as a stream also delay, step and range.
+    """
 
     @classmethod
     def name(cls):
         return "measurements"
 
     def schema(self):
-        return ROW
+        if self.options.get("uris"):
+            return "uri string, value string"
+        kind = _kind(self.options)
+        if kind is None:
+            return ROW
+        return ", ".join(["stream string, time_ms long", *(f"`{c}` {_SQL[k]}" for c, k in _columns(kind).items())])
 
     def reader(self, schema):
         return _Reader(self.options)
 
-    def simpleStreamReader(self, schema):
+    def streamReader(self, schema):
         return _StreamReader(self.options)
 
 
@@ -141,17 +209,45 @@ def register(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
 
 
+def _given(reader, **options):
+    for name, v in options.items():
+        reader = reader if v is None else reader.option(name, v)
+    return reader
+
+
 def history(spark: SparkSession, table: str, after_ms: int | None = None, until_ms: int | None = None, partitions: int = 1, **options: str) -> DataFrame:
     register(spark)
-    reader = spark.read.format("measurements").options(table=table, partitions=partitions, **options)
-    for name, v in (("after", after_ms), ("until", until_ms)):
-        reader = reader if v is None else reader.option(name, v)
-    return as_measurements(reader.load())
+    return as_measurements(_given(spark.read.format("measurements"), table=table, partitions=partitions, after=after_ms, until=until_ms, **options).load())
 
 
 def poll(spark: SparkSession, table: str, after_ms: int = 0, delay_ms: int = 0, **options: str) -> DataFrame:
     register(spark)
-    return as_measurements(spark.readStream.format("measurements").options(table=table, after=after_ms, delay=delay_ms, **options).load())
+    return as_measurements(_given(spark.readStream.format("measurements"), table=table, after=after_ms, delay=delay_ms, **options).load())
+
+
+def typed(rows: DataFrame, kind: Datatype) -> DataFrame:
+    """Rows of a type's own columns as its measurements: with value, is_lossy, datatype and, where it is made of tags, the stream."""
+    return measured(rows.withColumn("time", F.timestamp_millis("time_ms")).drop("time_ms"), kind)
+
+
+def typed_history(spark: SparkSession, kind: Datatype, after_ms: int | None = None, until_ms: int | None = None, partitions: int = 1, **options: str) -> DataFrame:
+    """A table's history with all the columns of its type; ranges of time are read side by side."""
+    register(spark)
+    reader = spark.read.format("measurements")
+    return typed(_given(reader, datatype=kind.name, family=kind.family, partitions=partitions, after=after_ms, until=until_ms, **options).load(), kind)
+
+
+def typed_poll(spark: SparkSession, kind: Datatype, after_ms: int = 0, delay_ms: int = 0, **options: str) -> DataFrame:
+    register(spark)
+    reader = spark.readStream.format("measurements")
+    return typed(_given(reader, datatype=kind.name, family=kind.family, after=after_ms, delay=delay_ms, **options).load(), kind)
+
+
+def archive_documents(spark: SparkSession, uris: list[str], after_ms: int | None = None, until_ms: int | None = None, stream: bool = False, **options: str) -> DataFrame:
+    """What each endpoint of a REST archive has in a range of time, or as a stream what is new, as documents for ``files.esmond``; a task an endpoint."""
+    register(spark)
+    reader = (spark.readStream if stream else spark.read).format("measurements")
+    return _given(reader, uris=json.dumps(uris), after=after_ms, until=until_ms, **options).load()
 
 
 def as_measurements(rows: DataFrame) -> DataFrame:

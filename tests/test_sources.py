@@ -91,6 +91,39 @@ def test_history_and_polling(spark, tmp_path):
         q.stop()
 
 
+def test_typed_history_and_polling(spark, tmp_path):
+    path = tmp_path / "rows.jsonl"
+    rows = [{"table": "data_amp_icmp", "time_ms": i * 1000, "stream": 3, "loss": i % 2, "lossrate": 0.5, "median": 100 + i, "rtts": [100 + i, None]} for i in range(10)]
+    rows += [{"table": "data_amp_http", "time_ms": 1, "stream": 4, "bytes": 7}]
+    path.write_text("".join(json.dumps(r) + "\n" for r in rows))
+    icmp = datatypes.datatype("icmp")
+    got = remote.typed_history(spark, icmp, 2000, 8000, 4, path=str(path)).collect()
+    assert sorted((r.median, r.value, r.is_lossy, r.rtts, r.packet_size, r.stream) for r in got) == [(100 + i, 100.0 + i, bool(i % 2), [100 + i, None], None, "3") for i in range(3, 9)]
+    assert remote.typed_history(spark, datatypes.datatype("http"), path=str(path)).first().value == 7.0
+    # as a stream: by ranges of time, each asked for once, with a restart between
+    poll = lambda now: remote.typed_poll(spark, icmp, 0, 0, path=str(path), now=str(now), step="1000", range="2000")
+    for now in (4500, 20_000):
+        q = poll(now).writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "check")).trigger(availableNow=True).start()
+        q.awaitTermination()
+        found = sorted(r.median for r in spark.read.parquet(str(tmp_path / "out")).collect())
+        assert found == [100 + i for i in range(1, now // 1000 + 1) if i < 10]
+
+
+def test_archive_polling(spark, tmp_path):
+    from pulseframe.sources import files
+
+    uris = [f"/esmond/perfsonar/archive/{k}/throughput/base" for k in "abc"]
+    path = tmp_path / "docs.jsonl"
+    path.write_text("".join(json.dumps({"uri": u, "ts": t, "val": t + i / 2}) + "\n" for i, u in enumerate(uris[:2]) for t in range(1, 8)))
+    got = files.esmond(remote.archive_documents(spark, uris, 2000, 5000, path=str(path)), "simple")
+    assert sorted(r.value for r in got.collect()) == [3.0, 3.5, 4.0, 4.5, 5.0, 5.5]
+    for now in (3000, 9000):
+        docs = remote.archive_documents(spark, uris, stream=True, path=str(path), now=str(now), step="1000")
+        q = files.esmond(docs, "simple").writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "check")).trigger(availableNow=True).start()
+        q.awaitTermination()
+    assert spark.read.parquet(str(tmp_path / "out")).count() == 14
+
+
 def test_traceroute_ranges(spark):
     t = spark.createDataFrame([(1, 10, None, None, [0, 5]), (1, 20, 1, None, [1]), (2, 20, None, None, [1])], "stream int, timestamp long, error_type int, error_code int, hop_rtt array<int>")
     known = spark.createDataFrame([(1,)], "stream int")
