@@ -13,6 +13,8 @@ from collections import Counter
 from dataclasses import dataclass, field, fields
 from typing import Any, ClassVar
 
+import numpy as np
+
 from pulseframe.functions.severity import severity
 
 NANOS = 1_000_000
@@ -45,7 +47,7 @@ class Detector:
 
     @staticmethod
     def dump(state: dict[str, Any]) -> str:
-        return json.dumps(state)
+        return json.dumps(state, default=np.ndarray.tolist)
 
     @staticmethod
     def load(text: str) -> dict[str, Any]:
@@ -374,7 +376,8 @@ class WindowedDistDiff(DistDiff):
 class Changepoint(Detector):
     """Bayesian online changepoint detection over normal distributions.
 
-    Runs are [mean, variance, n, probability, start]; the newest comes first.
+    Runs are columns of mean, variance, n, probability and start; the newest
+    comes first.
     The last run is left out when the likeliest is looked for, and the mean
     after a change is that of the newest run, so the value itself.
     """
@@ -396,46 +399,55 @@ class Changepoint(Detector):
         return {"runs": [], "normal": [], "old": None, "at": 0, "odd": 0, "back": 0}
 
     @staticmethod
-    def density(run: list[float], y: float) -> float:
-        mean, variance = run[0], run[1]
-        if abs(variance) < 1e-15:
-            variance = y / 100
-        if variance <= 0:
-            return math.inf if variance == 0 and y == mean else 0.0 if variance == 0 else math.nan
-        return math.exp(-((y - mean) ** 2) / (2 * variance)) / math.sqrt(2 * math.pi * variance)
-
-    @staticmethod
-    def with_point(mean: float, variance: float, y: float, n: int) -> list[float]:
-        k = 0 if n == 1 else n
-        new = (mean * k + y) / (k + 1)
-        return [new, (variance * n + (y - new) * (y - mean)) / (n + 1), n]
-
-    def update(self, runs: list[list], y: float, t: int) -> list[list]:
-        left, out = 0.0, []
-        for i, r in enumerate(runs):
-            p = self.density(r, y)
-            left += p * r[3] * self.HAZARD
-            out.append([*self.with_point(r[0], r[1], y, i + 1), p * r[3] * (1 - self.HAZARD), r[4]])
-        out.insert(0, [*self.with_point(0.0, 1e8, y, 1), left, t])
-        while len(out) > self.max_history:
-            last = out.pop()
-            out[-1][3] += last[3]
-        total = sum(r[3] for r in out)
-        for i, r in enumerate(out):
-            r[3] = (1.0 if i == 0 else 0.0) if total == 0 else r[3] / total
+    def densities(runs: np.ndarray, y: float) -> np.ndarray:
+        """How likely y is under each run's normal distribution; one without a spread gets a hundredth of y as its variance."""
+        mean, variance = runs[0], np.where(np.abs(runs[1]) < 1e-15, y / 100, runs[1])
+        with np.errstate(all="ignore"):
+            usual = np.exp(-((y - mean) ** 2) / (2 * variance)) / np.sqrt(2 * np.pi * variance)
+        return np.where(variance > 0, usual, np.where(variance < 0, np.nan, np.where(y == mean, np.inf, 0.0)))
+
+    def update(self, runs: np.ndarray, y: float, t: int) -> np.ndarray:
+        """The runs after one more value: a new one, and each known one longer by it."""
+        k = runs.shape[1]
+        n = np.arange(1.0, k + 1)
+        likely = self.densities(runs, y) * runs[3]
+        before = np.where(n == 1, 0.0, n)
+        mean = (runs[0] * before + y) / (before + 1)
+        variance = (runs[1] * n + (y - mean) * (y - runs[0])) / (n + 1)
+        out = np.empty((5, k + 1))
+        # the new run starts from a mean of 0 and a variance of 1e8, and takes what the others lose
+        out[:, 0] = y, 1e8 / 2, 1.0, np.cumsum(likely * self.HAZARD)[-1] if k else 0.0, t
+        out[:, 1:] = mean, variance, n, likely * (1 - self.HAZARD), runs[4]
+        while out.shape[1] > self.max_history:
+            out[3, -2] += out[3, -1]
+            out = out[:, :-1]
+        total = np.cumsum(out[3])[-1]
+        if total == 0:
+            out[3] = 0.0
+            out[3, 0] = 1.0
+        else:
+            with np.errstate(invalid="ignore"):
+                out[3] /= total
         return out
 
     def describe(self, state, value):
         """Of the runs so far: how many, which is likeliest and with what, how the value fits it, and the anomalies in a row."""
-        if not state["runs"]:
+        runs = np.asarray(state["runs"], float).reshape(5, -1)
+        if not runs.shape[1]:
             return None
-        at = self.likeliest(state["runs"], lambda r: r[3])
-        r = state["runs"][at]
-        return {"value": value, "runs": float(len(state["runs"])), "likeliest": float(at), "mean": r[0], "variance": r[1], "n": float(r[2]), "probability": r[3], "density": self.density(r, value), "odd": float(state["odd"])}
+        at = self.likeliest(runs[3])
+        mean, variance, n, probability, _ = runs[:, at].tolist()
+        density = float(self.densities(runs[:, at : at + 1], value)[0])
+        return {"value": value, "runs": float(runs.shape[1]), "likeliest": float(at), "mean": mean, "variance": variance, "n": n, "probability": probability, "density": density, "odd": float(state["odd"])}
 
     @staticmethod
-    def likeliest(runs: list[list], by) -> int:
-        return max(range(len(runs) - 1), key=lambda i: by(runs[i])) if len(runs) > 1 else 0
+    def likeliest(by: np.ndarray) -> int:
+        """The first of the largest, the last run aside."""
+        if len(by) < 2:
+            return 0
+        if np.isnan(by).any():  # nothing is over what isn't a number, so the first that comes is kept
+            return max(range(len(by) - 1), key=by.__getitem__)
+        return int(by[:-1].argmax())
 
     def step(self, state, t, value, lossy):
         if lossy or value is None:
@@ -444,23 +456,24 @@ class Changepoint(Detector):
             state.update(self._fresh(), last=t)
             return []
         state["last"] = max(state["last"], t)
-        state["at"] = min(state["at"], len(state["runs"]) - 1)
+        runs = np.asarray(state["runs"], float).reshape(5, -1)
+        state["at"] = min(state["at"], runs.shape[1] - 1)
         if state["odd"] == 0:
-            state["normal"] = [list(r) for r in state["runs"]]
-            runs = state["normal"]
-            if runs:
-                best = runs[self.likeliest(runs, lambda r: r[2])]
-                state["old"] = [*best[:3], -2.0, runs[state["at"]][4]]
+            state["normal"] = runs
+            if runs.shape[1]:
+                best = runs[:3, self.likeliest(runs[2])].tolist()
+                state["old"] = [*best, -2.0, int(runs[4, state["at"]])]
             else:
                 state["old"] = [0.0, 1e8, 0, -2.0, t]
-        runs = state["runs"] = self.update(state["runs"], value, t)
-        likely = self.likeliest(runs, lambda r: r[3])
+        runs = state["runs"] = self.update(runs, value, t)
+        likely = self.likeliest(runs[3])
         if likely != state["at"]:
             state["odd"] += 1
-            if self.likeliest(runs, lambda r: self.density(r, value)) == len(runs) - 2:
+            if self.likeliest(self.densities(runs, value)) == runs.shape[1] - 2:
                 state["back"] += 1
                 if state["back"] > self.ignore_outlier_normal_count:
-                    state.update(odd=0, back=0, runs=self.update(state["normal"], value, t))
+                    normal = np.asarray(state["normal"], float).reshape(5, -1)
+                    state.update(odd=0, back=0, runs=self.update(normal, value, t))
                     return []
             else:
                 state["back"] = 0
@@ -469,7 +482,7 @@ class Changepoint(Detector):
         state["at"] = likely
         out = []
         if state["odd"] > self.trigger_count:
-            old, new = state["old"], next(r for r in runs if r[2] == 1)
+            old, new = state["old"], runs[:, int((runs[2] == 1).argmax())].tolist()
             s = severity(old[0], new[0])
             if s > self.severity_threshold:
                 if t - (state["event"] or 0) > self.minimum_event_interval * 1000:

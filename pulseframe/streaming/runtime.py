@@ -39,7 +39,7 @@ class _Keyed(StatefulProcessor):
         return json.loads(self._state.get()[0]) if self._state.exists() else start
 
     def _save(self, state: Any) -> None:
-        self._state.update((json.dumps(state),))
+        self._state.update((Detector.dump(state),))
 
     def close(self) -> None:
         pass
