@@ -260,6 +260,12 @@ def link_components(docs: DataFrame, words: int = 5, share: int = 80, id_col: st
     shared = postings.groupBy("gram").agg(F.min("id").alias("_lo"), F.max("id").alias("_hi")).where("_lo <> _hi").select("gram")
     # an n-gram that very many hold is split in the joins, here and below
     postings = written(postings.join(dealt_anew(shared, "gram"), "gram").select("gram", "id", "n", "pos"), "postings")
+    # the prefixes are in the postings now
+    sets = written(sets.select("id", "n", "one", "two"), "sizes")
+    reps = sets.where("n > 0 and id is not null").groupBy("one", "two", "n").agg(F.min("id").alias("rep"))
+    members = reps.withColumnsRenamed({"one": "_one", "two": "_two", "n": "_n"})
+    kept = [postings, sets]
+    tables.drop(*kept)
     links, tried, label = None, None, None
     for turn in range(3):
         # what is still apart: n-grams whose classes lie in more than one component
@@ -282,11 +288,18 @@ def link_components(docs: DataFrame, words: int = 5, share: int = 80, id_col: st
         if tried is not None:
             pairs = pairs.join(tried, ["u", "v"], "left_anti")
         pairs = written(pairs, "pairs")
+        if pairs.isEmpty():
+            continue
         found = written(_verified(pairs, docs, words, share), "links")
+        kept += [pairs, found]
+        tables.drop(*kept)
         links = found if links is None else links.unionByName(found)
         tried = pairs if tried is None else tried.unionByName(pairs)
         label = components(links)
-    whole = members.join(label, F.col("rep") == F.col("node"), "left").select("_one", "_two", "_n", F.coalesce("component", "rep").alias("component"))
+    if label is None:
+        whole = members.select("_one", "_two", "_n", F.col("rep").alias("component"))
+    else:
+        whole = members.join(label, F.col("rep") == F.col("node"), "left").select("_one", "_two", "_n", F.coalesce("component", "rep").alias("component"))
     out = sets.select("id", "n", "one", "two").join(whole, same_set & (F.col("n") == F.col("_n")) & F.col("id").isNotNull(), "left")
     component = F.coalesce("component", "id").alias("component_id")
     out = tables.keep(out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), component), "components")
