@@ -38,7 +38,8 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     keyed = keyed.select("_id", "_of", F.posexplode("_lines").alias("_at", "_line"))
     key = ascii_lower(F.trim(F.col("_line"), F.lit(SPACES)))
     keyed = keyed.where(F.char_length("_line") >= min_chars).select("_id", "_of", "_at", key.alias("_key")).where(F.char_length("_key") >= min_chars)
-    keyed = keyed.select("_id", "_of", "_at", F.xxhash64("_key").alias("_a"), F.xxhash64(F.lit(7), "_key").alias("_b"))
+    # written, since it is read twice and is small beside the texts
+    keyed = written(keyed.select("_id", "_of", "_at", F.xxhash64("_key").alias("_a"), F.xxhash64(F.lit(7), "_key").alias("_b")), "line-keys")
     # first by hash and document, so that a line of a third of all documents is counted in many tasks
     shared = keyed.groupBy("_a", "_b", "_id").agg(F.lit(1).alias("_one")).groupBy("_a", "_b").agg(F.count("*").alias("_n"), F.max("_id").alias("_keeper")).where(F.col("_n") >= min_docs)
     # written, so that both sides of the join are dealt for it alone and Spark can split a line that very many hold, or broadcast a table that proves small
