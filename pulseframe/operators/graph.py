@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from itertools import count
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pulseframe.functions.text import as_category, ipv4_number, zip_hops
@@ -203,16 +203,77 @@ def stream_distances(edges: DataFrame, metas: DataFrame, most: int | None = None
     return near.join(far, ["da", "db"]).select("a", "b", (F.col("first") + F.col("second")).cast("double").alias("distance"))
 
 
+def _hex(hue: Column, saturation: float = 0.5, brightness: float = 0.95) -> Column:
+    """A colour of that hue (0 to 1) as #RRGGBB."""
+    sector = F.floor(hue * 6)
+    part = hue * 6 - sector
+    levels = {
+        "v": F.lit(brightness), "p": F.lit(brightness * (1 - saturation)),
+        "q": brightness * (1 - saturation * part), "t": brightness * (1 - saturation * (1 - part)),
+    }
+    two = {k: F.lpad(F.hex(F.floor(x * 255 + 0.5)), 2, "0") for k, x in levels.items()}
+    ways = ("vtp", "qvp", "pvt", "pqv", "tpv", "vpq")  # red, green and blue in each sixth of the circle
+    colours = F.array(*(F.concat(F.lit("#"), *(two[k] for k in way)) for way in ways))
+    return F.element_at(colours, (F.pmod(sector, F.lit(6)) + 1).cast("int"))
+
+
+def as_colours(vertices: DataFrame) -> DataFrame:
+    """Each valid AS number of the vertices with a colour; the hues are spread evenly in order of the numbers, of which there are few beside the vertices."""
+    numbers = vertices.select(F.explode("addresses").alias("a")).select(F.col("a.as_number").alias("as_number")).where("as_number > 0").distinct()
+    rank = F.row_number().over(Window.orderBy("as_number")) - 1
+    hue = F.lit(0.8) * rank / F.count("*").over(Window.partitionBy()) + 0.1
+    return numbers.withColumn("colour", _hex(hue))
+
+
 def dot_lines(vertices: DataFrame, edges: DataFrame) -> DataFrame:
-    """The graph in DOT, a row a line with its part and key, to be written in that order: boxes for monitors, red for named hosts."""
-    style = F.when(F.exists("hostnames", lambda h: h.contains("amp")), "shape=box, color=red").when(F.size("hostnames") > 0, "color=red").when(F.col("anonymous"), "style=dotted").otherwise("color=black")
+    """The graph in DOT, a row a line with its part and key, to be written in that order.
+
+    Boxes are hosts that look like monitors; hosts with names are red, others
+    have the colour of their smallest AS number, or are white.
+    """
+    first = F.array_min(F.filter(F.col("addresses.as_number"), lambda n: n > 0))
+    vertices = vertices.withColumn("_as", first).join(as_colours(vertices).withColumnRenamed("as_number", "_n"), F.col("_as") == F.col("_n"), "left")
+    shape = F.when(F.exists("hostnames", lambda h: h.contains("amp")), "box").otherwise("oval")
+    fill = F.when(F.size("hostnames") > 0, "#FF0000").otherwise(F.coalesce("colour", F.lit("#FFFFFF")))
+    style = F.concat(F.lit('style="filled", shape="'), shape, F.lit('", fillcolor="'), fill, F.lit('"'))
     quote = lambda c: F.concat(F.lit('"'), F.replace(c, F.lit('"'), F.lit('\\"')), F.lit('"'))
     one = lambda part, text: vertices.sparkSession.range(1).select(F.lit(part).alias("part"), F.lit("").alias("key"), F.lit(text).alias("line"))
-    nodes = vertices.select(F.lit(1).alias("part"), F.col("uid").alias("key"), F.concat(F.lit("  "), quote(F.col("uid")), F.lit(" ["), style, F.lit("];")).alias("line"))
-    links = edges.select(F.lit(2).alias("part"), F.concat_ws("|", "src", "dst").alias("key"), F.concat(F.lit("  "), quote(F.col("src")), F.lit(" -> "), quote(F.col("dst")), F.lit(";")).alias("line"))
+    node = F.concat(F.lit("  "), quote(F.col("uid")), F.lit(" ["), style, F.lit("];"))
+    nodes = vertices.select(F.lit(1).alias("part"), F.col("uid").alias("key"), node.alias("line"))
+    link = F.concat(F.lit("  "), quote(F.col("src")), F.lit(" -> "), quote(F.col("dst")), F.lit(";"))
+    links = edges.select(F.lit(2).alias("part"), F.concat_ws("|", "src", "dst").alias("key"), link.alias("line"))
     return one(0, "strict digraph G {").unionByName(nodes).unionByName(links).unionByName(one(3, "}"))
 
 
+def topology(traceroutes: DataFrame, metas: DataFrame, paths: DataFrame, as_paths: DataFrame, nodes: DataFrame | None = None, age_s: float = 1200) -> tuple[DataFrame, DataFrame]:
+    """(vertices, edges) of the graph that traceroutes make, by all steps in a row.
+
+    Paths are joined and turned into changes, these are folded to edges; with
+    ``nodes`` (node_id, ip) hosts of one router become one; edges not seen for
+    ``age_s`` before the last are pruned, and all but the largest component;
+    anonymous hosts at the same place of parallel paths become one.
+    """
+    routes = traceroute_paths(traceroutes, metas, paths, as_paths)
+    hosts = with_hosts(routes).select(F.explode("hosts").alias("h")).select("h.*").distinct()
+    links = edges(change_events(routes))
+    if nodes is not None:
+        aliases = itdk_aliases(hosts.where("address is not null").select("uid", "address").distinct(), nodes)
+        links, hosts = relabel(links, aliases), _renamed(hosts, aliases)
+    links = written(links, "links")
+    links = written(prune_last_seen(links.crossJoin(F.broadcast(links.agg(F.max("last_seen").alias("now")))), F.col("now"), age_s).drop("now"), "links")
+    merged = written(merge_hosts(hosts, F.col("uid")), "hosts")
+    aliases = parallel_anonymous(links, merged.where("anonymous").select("uid"))
+    links = relabel(links, aliases)
+    hosts = _renamed(hosts, aliases)
+    there = links.select(F.col("src").alias("uid")).unionByName(links.select(F.col("dst").alias("uid"))).distinct()
+    return merge_hosts(hosts, F.col("uid")).join(there, "uid", "left_semi"), links
+
+
+def _renamed(hosts: DataFrame, aliases: DataFrame) -> DataFrame:
+    names = aliases.select(F.col("uid").alias("_u"), F.col("canonical").alias("_c"))
+    return hosts.join(names, F.col("uid") == F.col("_u"), "left").withColumn("uid", F.coalesce("_c", "uid")).drop("_u", "_c")
+
+
 def category_counts(vertices: DataFrame) -> DataFrame:
     """How many addresses have an AS number of each category."""
     return vertices.select(F.explode("addresses").alias("a")).groupBy(as_category(F.col("a.as_number")).alias("category")).agg(F.count("*").alias("n"))

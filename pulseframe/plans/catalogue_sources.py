@@ -236,17 +236,21 @@ def traceroutes_between(spark, sf):
     return out.select("o_orderkey", "stream", F.unix_millis("time").alias("time_ms"), F.col("hop_rtt")[0].alias("first_rtt"), "is_lossy")
 
 
-def _paths(spark, sf) -> DataFrame:
-    """Paths of five hops: the address depends on place, stream and path; some hops have none."""
-    t = _traceroutes(spark, sf).withColumn("time", F.timestamp_seconds("timestamp"))
-    keys = t.select("stream", "path_id").distinct()
+def _parts(spark, sf) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Metadata, paths of five hops (the address depends on place, stream and path; some hops have none) and AS paths."""
+    keys = _traceroutes(spark, sf).select("stream", "path_id").distinct()
     hop = lambda i: F.when((F.col("path_id") + i) % 5 == 0, "NULL").otherwise(F.concat(F.lit(f"10.{i}."), F.col("path_id") % 4, F.lit("."), F.col("stream") % 3))
     address = F.concat(F.lit("{"), F.concat_ws(",", *(hop(i) for i in range(5))), F.lit("}"))
     paths = keys.select("stream", "path_id", text.inet_list(address).alias("path"))
     numbers = F.concat(F.lit("{2."), F.col("stream") + 1, F.lit(",1.-2,2.681}"))
     as_paths = keys.where("path_id % 2 = 0").select("stream", F.col("path_id").alias("aspath_id"), text.as_path(numbers).alias("aspath"))
     metas = keys.select("stream", F.concat(F.lit("from"), F.col("stream") % 4).alias("source"), F.concat(F.lit("to"), F.col("stream") % 5).alias("destination")).distinct()
-    return graph.traceroute_paths(t, metas, paths, as_paths)
+    return metas, paths, as_paths
+
+
+def _paths(spark, sf) -> DataFrame:
+    t = _traceroutes(spark, sf).withColumn("time", F.timestamp_seconds("timestamp"))
+    return graph.traceroute_paths(t, *_parts(spark, sf))
 
 
 HOPS = f"""{ROUTES},
@@ -420,10 +424,24 @@ def tuning_quality(spark, sf):
     return out.select("param_id", "quality")
 
 
-@query("dot_graph", f"""WITH {HOPS}, {EDGES}, w AS (SELECT uid, max(name) AS name, bool_and(name IS NULL AND address IS NULL) AS anonymous FROM v GROUP BY uid)
+# the colours by the circle's sixths, in which one of red, green and blue rises or falls
+@query("dot_graph", f"""WITH {HOPS}, {EDGES},
+    n AS (SELECT as_number, (0.8::DOUBLE * (row_number() OVER (ORDER BY as_number) - 1) / count(*) OVER () + 0.1::DOUBLE) * 6 AS h FROM (SELECT DISTINCT as_number FROM v WHERE address IS NOT NULL AND as_number > 0)),
+    k AS (SELECT as_number, unnest([1, 2, 3]) AS i, h FROM n),
+    r AS (SELECT as_number, i, ((h + [0, 4, 2][i]) % 6)::DOUBLE AS x FROM k),
+    y AS (SELECT as_number, '#' || string_agg(upper(lpad(hex(floor((0.95::DOUBLE * (1 - 0.5::DOUBLE * greatest(0.0::DOUBLE, least(1.0::DOUBLE, least(x, 6 - x) - 1)))) * 255 + 0.5::DOUBLE)::BIGINT), 2, '0')), '' ORDER BY i) AS colour FROM r GROUP BY as_number),
+    w AS (SELECT uid, max(name) AS name, min(CASE WHEN address IS NOT NULL AND as_number > 0 THEN as_number END) AS as_number FROM v GROUP BY uid)
     SELECT 0 AS part, '' AS key, 'strict digraph G {{' AS line UNION ALL SELECT 3, '', '}}'
-    UNION ALL SELECT 1, uid, '  "' || uid || '" [' || CASE WHEN name IS NOT NULL THEN 'color=red' WHEN anonymous THEN 'style=dotted' ELSE 'color=black' END || '];' FROM w
+    UNION ALL SELECT 1, uid, '  "' || uid || '" [style="filled", shape="oval", fillcolor="' || CASE WHEN name IS NOT NULL THEN '#FF0000' ELSE coalesce(colour, '#FFFFFF') END || '"];' FROM w LEFT JOIN y USING (as_number)
     UNION ALL SELECT 2, src || '|' || dst, '  "' || src || '" -> "' || dst || '";' FROM e""")
 def dot_graph(spark, sf):
     paths = _paths(spark, sf)
     return graph.dot_lines(graph.vertices(paths), graph.edges(graph.change_events(paths)))
+
+
+# all steps in a row; which anonymous hosts are parallel is not for SQL, a test has the steps one by one
+@query("graph_topology")
+def graph_topology(spark, sf):
+    t = _traceroutes(spark, sf).withColumn("time", F.timestamp_seconds("timestamp"))
+    _, links = graph.topology(t, *_parts(spark, sf), age_s=400 * 86400)
+    return links.select("src", "dst", F.unix_millis("last_seen").alias("last_ms"))

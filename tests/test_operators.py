@@ -253,3 +253,25 @@ def test_a_cluster_needs_a_shared_folder(spark, monkeypatch):
 
     with pytest.raises(ValueError, match="spark.checkpoint.dir"):
         scratch.checkpoint_folder(Session)
+
+
+def test_the_topology_is_its_steps_one_by_one(spark):
+    """Traceroutes over five parallel paths of anonymous hosts, one that is too old, and two addresses of one router."""
+    minute = lambda m: START + timedelta(minutes=m)
+    traces = [(1, k, 0, minute(100)) for k in range(5)] + [(2, 9, 0, minute(101)), (3, 7, 0, minute(0))]
+    t = spark.createDataFrame(traces, "stream long, path_id long, aspath_id long, time timestamp")
+    metas = spark.createDataFrame([(1, "top", "bottom"), (2, "top", "bottom"), (3, "old", "gone")], "stream long, source string, destination string")
+    paths = [(1, k, ["1.1.1.1", "2.2.2.2" if k % 2 else "2.2.2.3", None, None, "3.3.3.3", "9.9.9.9"]) for k in range(5)]
+    paths += [(2, 9, ["1.1.1.1", "4.4.4.4", "9.9.9.9"]), (3, 7, ["7.7.7.7", "8.8.8.8"])]
+    paths = spark.createDataFrame(paths, "stream long, path_id long, path array<string>")
+    as_paths = spark.createDataFrame([], "stream long, aspath_id long, aspath array<int>")
+    nodes = spark.createDataFrame([(5, "2.2.2.2"), (5, "2.2.2.3")], "node_id long, ip string")
+    vertices, links = graph.topology(t, metas, paths, as_paths, nodes, 3600)
+    got = {(r.src, r.dst) for r in links.collect()}
+    hidden = sorted({x for e in got for x in e if x.startswith("(1,")})
+    assert len(hidden) == 2  # five chains of two anonymous hosts are one
+    a, b = hidden
+    assert got == {("top", "N5"), ("N5", a), (a, b), (b, "(3.3.3.3,-1)"), ("(3.3.3.3,-1)", "bottom"), ("top", "(4.4.4.4,-1)"), ("(4.4.4.4,-1)", "bottom")}
+    assert {r.uid for r in vertices.collect()} == {x for e in got for x in e}
+    lines = [r.line for r in graph.dot_lines(vertices, links).collect()]
+    assert sum('fillcolor="#FF0000"' in x for x in lines) == 2 and sum("->" in x for x in lines) == 7
