@@ -220,12 +220,31 @@ def mode_bucket_top2(spark, sf):
     return windows.mode_buckets(measurements(spark, sf))
 
 
-@query("distdiff_events")
+# The last 20 values against the 20 before, two dropped at each end. Both sorted lists are walked together until one
+# is used up: a value of both is one step, any other a step up or down, and the largest difference is kept with its
+# sign. Whether a row lies in an event follows from the last row before it that began or ended one.
+DISTDIFF = f"""{M()},
+    s AS (SELECT stream, ms, seq, 1000 + value % 7.0::DOUBLE + CASE WHEN ms // 259200000 % 2 = 1 THEN 300000.0::DOUBLE ELSE 0.0::DOUBLE END AS v FROM m WHERE NOT lossy AND value IS NOT NULL),
+    w AS (SELECT *, list(v) OVER (PARTITION BY stream ORDER BY ms, seq ROWS 39 PRECEDING) AS l, lag(ms, 20) OVER o AS ms20, lag(ms, 39) OVER o AS ms39, lag(ms, 19) OVER o AS ms19 FROM s WINDOW o AS (PARTITION BY stream ORDER BY ms, seq)),
+    c AS (SELECT *, list_sort(l[1:20])[3:18] AS o, list_sort(l[21:40])[3:18] AS n FROM w WHERE len(l) = 40),
+    x AS (SELECT *, flatten(list_transform(list_sort(list_distinct(o || n)), lambda y: CASE
+                 WHEN list_contains(o, y) AND list_contains(n, y) THEN [{{'d': 0.0::DOUBLE, 'm': 0.0::DOUBLE, 'a': len(list_filter(o, lambda q: q = y)), 'b': len(list_filter(n, lambda q: q = y)), 'k': 1::BIGINT}}]
+                 WHEN list_contains(o, y) THEN list_transform(list_filter(o, lambda q: q = y), lambda q: {{'d': -0.05::DOUBLE, 'm': 0.0::DOUBLE, 'a': 1::BIGINT, 'b': 0::BIGINT, 'k': 1::BIGINT}})
+                 ELSE list_transform(list_filter(n, lambda q: q = y), lambda q: {{'d': 0.05::DOUBLE, 'm': 0.0::DOUBLE, 'a': 0::BIGINT, 'b': 1::BIGINT, 'k': 1::BIGINT}}) END)) AS steps FROM c),
+    r AS (SELECT *, list_reduce(list_prepend({{'d': 0.0::DOUBLE, 'm': 0.0::DOUBLE, 'a': 0::BIGINT, 'b': 0::BIGINT, 'k': 0::BIGINT}}, steps), lambda p, q: CASE WHEN p.a >= 16 OR p.b >= 16 THEN p
+                 ELSE {{'d': p.d + q.d, 'm': CASE WHEN abs(p.d + q.d) > p.m THEN p.d + q.d ELSE p.m END, 'a': p.a + q.a, 'b': p.b + q.b, 'k': p.k + q.k}} END) AS f FROM x),
+    z AS (SELECT *, greatest(abs(f.d + CASE WHEN f.b >= 16 AND f.a < 16 THEN 0.05 ELSE -0.05 END * (32 - f.k)), f.m) * 4 AS z, list_sum(o) AS a, list_sum(n) AS b FROM r),
+    g AS (SELECT *, CASE WHEN z < 0.75 THEN 0
+                         WHEN z >= 1.5 AND greatest(a, b) / least(a, b) >= 1.05 AND abs(a - b) >= 20 AND NOT (n[16] - n[1] > 0.25 * (o[16] - o[1]) AND abs(a - b) / 16 < 2 * (o[16] - o[1])) THEN 1 END AS signal FROM z),
+    e AS (SELECT *, coalesce(last_value(signal IGNORE NULLS) OVER (PARTITION BY stream ORDER BY ms, seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS inside, a / 16 / 1000 AS mean_old, b / 16 / 1000 AS mean_new FROM g)"""
+
+
+@query("distdiff_events", f"WITH {DISTDIFF} SELECT 'distdiff_events' AS event_type, stream, {SEV('mean_old', 'mean_new')} AS severity, ms AS time_ms, (ms - ms20) * 1000000 AS detection_latency FROM e WHERE signal = 1 AND inside = 0")
 def distdiff_events(spark, sf):
     return plain(runtime.detect(shifted(spark, sf), D.DistDiff(20, 1.05, 1.5, 2, WEEK)), "detection_latency")
 
 
-@query("distdiff_windowed")
+@query("distdiff_windowed", f"WITH {DISTDIFF} SELECT 'distdiff_events' AS event_type, stream, {SEV('mean_old', 'mean_new')} AS severity, ms39 AS time_ms, (ms19 - ms39) * 1000000 AS detection_latency FROM e WHERE signal = 1 AND inside = 0")
 def distdiff_windowed(spark, sf):
     return plain(runtime.detect(shifted(spark, sf), D.WindowedDistDiff(20, 1.05, 1.5, 2, WEEK)), "detection_latency")
 
