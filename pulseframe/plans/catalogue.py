@@ -181,12 +181,6 @@ def spike_details(spark, sf):
     return rows.select("stream", F.unix_millis("time").alias("time_ms"), *(F.round(F.col("detail")[c], 9).alias(c) for c in ("value", "mean", "bound", "distance", "signal")))
 
 
-@query("changepoint_details")
-def changepoint_details(spark, sf):
-    rows = runtime.details(runtime.not_lossy(shifted(spark, sf)), D.Changepoint(60, 4, 1, WEEK, 10, 5))
-    return rows.select("stream", F.unix_millis("time").alias("time_ms"), *(F.round(F.col("detail")[c], 6).alias(c) for c in ("value", "runs", "likeliest", "mean", "n", "probability", "odd")))
-
-
 @query("measurement_counts", f"WITH {M()} SELECT stream AS datatype, count(*) AS n FROM m GROUP BY ALL")
 def measurement_counts(spark, sf):
     return windows.counts_by(measurements(spark, sf).withColumn("datatype", F.col("stream")), "datatype")
@@ -249,11 +243,59 @@ def distdiff_windowed(spark, sf):
     return plain(runtime.detect(shifted(spark, sf), D.WindowedDistDiff(20, 1.05, 1.5, 2, WEEK)), "detection_latency")
 
 
-@query("changepoint_events")
+def _longer(runs: str, to: str) -> list[str]:
+    """The steps by which runs take one more value v at time ms: each level adds a column, the last is named ``to``."""
+    normal = "exp(-((v - q.m) * (v - q.m)) / (2 * q.v)) / sqrt(2 * pi() * q.v)"
+    before = "CASE WHEN i = 1 THEN 0 ELSE i END"
+    mean = f"(q.m * {before} + v) / ({before} + 1)"
+    return [
+        f"list_transform({runs}, lambda q, i: {{'m': {mean}, 'v': (q.v * i + (v - {mean}) * (v - q.m)) / (i + 1), 'p': {normal} * q.p, 's': q.s}}) AS {to}1",
+        f"list_prepend({{'m': v, 'v': 5e7::DOUBLE, 'p': coalesce(list_sum(list_transform({to}1, lambda q: q.p * 0.005::DOUBLE)), 0.0::DOUBLE), 's': ms}}, list_transform({to}1, lambda q: {{'m': q.m, 'v': q.v, 'p': q.p * 0.995::DOUBLE, 's': q.s}})) AS {to}2",
+        f"CASE WHEN len({to}2) > 60 THEN list_append({to}2[1:59], {{'m': {to}2[60].m, 'v': {to}2[60].v, 'p': {to}2[60].p + {to}2[61].p, 's': {to}2[60].s}}) ELSE {to}2 END AS {to}3",
+        f"list_sum(list_transform({to}3, lambda q: q.p)) AS {to}t",
+        f"list_transform({to}3, lambda q, i: {{'m': q.m, 'v': q.v, 'p': CASE WHEN {to}t > 0 THEN q.p / {to}t WHEN i = 1 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END, 's': q.s}}) AS {to}",
+    ]
+
+
+def _changepoint(columns: str) -> str:
+    """Runs in order, the newest first; the length of a run is its place less one, and 1 for the first two. f has the state after each row."""
+    levels = "f JOIN s ON s.stream = f.stream AND s.rn = f.rn + 1"
+    steps = ["f.stream, s.rn, s.ms, s.v, f.runs, least(f.likely, len(f.runs) - 1) AS was, f.odd, f.back, f.event, CASE WHEN f.odd = 0 THEN f.runs ELSE f.normal END AS normal, "
+             "CASE WHEN f.odd > 0 THEN f.mean WHEN len(f.runs) = 0 THEN 0.0::DOUBLE ELSE f.runs[CASE WHEN len(f.runs) <= 3 THEN 1 ELSE len(f.runs) - 1 END].m END AS mean, "
+             "CASE WHEN f.odd > 0 THEN f.start WHEN len(f.runs) = 0 THEN s.ms ELSE f.runs[least(f.likely, len(f.runs) - 1) + 1].s END AS start"]
+    steps += [f"*, {x}, {y}" for x, y in zip(_longer("runs", "u"), _longer("normal", "w"), strict=True)]
+    first = lambda by: f"CASE WHEN len(u) < 2 THEN 0 ELSE list_position(list_transform(u[1:len(u) - 1], lambda q: {by}), list_max(list_transform(u[1:len(u) - 1], lambda q: {by}))) - 1 END"
+    steps.append(f"*, {first('q.p')} AS best, {first('exp(-((v - q.m) * (v - q.m)) / (2 * q.v)) / sqrt(2 * pi() * q.v)')} AS fits")
+    steps.append("*, best <> was AS moved, best <> was AND fits = len(u) - 2 AS returns")
+    steps.append("*, returns AND back >= 1 AS undone, CASE WHEN moved THEN odd + 1 ELSE 0 END AS odd1, CASE WHEN returns THEN back + 1 ELSE 0 END AS back1")
+    steps.append(f"*, NOT undone AND odd1 > 4 AS full_, {SEV('mean', 'v')} AS severity")
+    steps.append("*, full_ AND severity > 5 AS over_, full_ AND severity > 5 AND ms - event > 10000 AS hit")
+    for x in steps:
+        levels = f"(SELECT {x} FROM {levels})"
+    none = "CAST([] AS STRUCT(m DOUBLE, v DOUBLE, p DOUBLE, s BIGINT)[])"
+    return f"""WITH RECURSIVE {M()},
+    s AS (SELECT stream, ms, row_number() OVER (PARTITION BY stream ORDER BY ms, seq) AS rn, 1000 + value % 7.0::DOUBLE + CASE WHEN ms // 259200000 % 2 = 1 THEN 300000.0::DOUBLE ELSE 0.0::DOUBLE END AS v FROM m WHERE NOT lossy AND value IS NOT NULL),
+    f AS (
+        SELECT stream, rn, {none} AS runs, {none} AS normal, 0.0::DOUBLE AS mean, 0::BIGINT AS start, 0::BIGINT AS likely, 0::BIGINT AS odd, 0::BIGINT AS back, 0::BIGINT AS event, false AS hit, 0 AS severity, 0::BIGINT AS began FROM s WHERE rn = 1
+        UNION ALL
+        SELECT stream, rn, CASE WHEN undone THEN w WHEN over_ THEN {none} ELSE u END, CASE WHEN over_ THEN {none} ELSE normal END, mean, start, CASE WHEN undone THEN was WHEN over_ THEN 0 ELSE best END,
+               CASE WHEN undone OR full_ THEN 0 ELSE odd1 END, CASE WHEN undone OR over_ THEN 0 ELSE back1 END, CASE WHEN hit THEN ms ELSE event END, hit, severity, start
+        FROM {levels})
+    SELECT {columns}"""
+
+
+@query("changepoint_events", _changepoint("'changepoint_events' AS event_type, stream, severity, ms AS time_ms, (ms - began) * 1000000 AS detection_latency FROM f JOIN s USING (stream, rn) WHERE hit"))
 def changepoint_events(spark, sf):
     return plain(runtime.detect(runtime.valued(runtime.not_lossy(shifted(spark, sf))), D.Changepoint(60, 4, 1, WEEK, 10, 5)), "detection_latency")
 
 
+# what a row meets is the state after the one before
+@query("changepoint_details", f"""{_changepoint("s.stream, s.ms AS time_ms, round(s.v, 6) AS value, len(f.runs)::DOUBLE AS runs, f.runs, f.odd::DOUBLE AS odd, list_position(list_transform(f.runs[1:greatest(len(f.runs) - 1, 1)], lambda q: q.p), list_max(list_transform(f.runs[1:greatest(len(f.runs) - 1, 1)], lambda q: q.p))) AS k FROM f JOIN s ON s.stream = f.stream AND s.rn = f.rn + 1 WHERE len(f.runs) > 0").replace("f.runs, f.odd::DOUBLE", "f.runs AS r, f.odd::DOUBLE").replace("    SELECT s.stream", "    SELECT stream, time_ms, value, runs, (k - 1)::DOUBLE AS likeliest, round(r[k].m, 6) AS mean, greatest(k - 1, 1)::DOUBLE AS n, round(r[k].p, 6) AS probability, odd FROM (SELECT s.stream")})""")
+def changepoint_details(spark, sf):
+    rows = runtime.details(runtime.not_lossy(shifted(spark, sf)), D.Changepoint(60, 4, 1, WEEK, 10, 5))
+    return rows.select("stream", F.unix_millis("time").alias("time_ms"), *(F.round(F.col("detail")[c], 6).alias(c) for c in ("value", "runs", "likeliest", "mean", "n", "probability", "odd")))
+
+
 @query("tumbling_metrics", """WITH g AS (SELECT time_bucket(INTERVAL 1 DAY, ts) AS w, epoch_us(min(ts)) // 1000 AS min_ms, epoch_us(max(ts)) // 1000 AS max_ms, avg(value) AS mean, list_sort(list(value)) AS v, count(*) AS n FROM events WHERE value IS NOT NULL GROUP BY 1)
     SELECT epoch_ms(w) AS window_ms, min_ms, max_ms, round(mean, 6) AS mean, v[n // 2 + 1] AS median, v[ceil((n - 1) * 90 / 100.0)::INT + 1] AS p90, n FROM g""")
 def tumbling_metrics(spark, sf):
