@@ -235,7 +235,7 @@ def dot_lines(vertices: DataFrame, edges: DataFrame) -> DataFrame:
     vertices = vertices.withColumn("_as", first).join(as_colours(vertices).withColumnRenamed("as_number", "_n"), F.col("_as") == F.col("_n"), "left")
     shape = F.when(F.exists("hostnames", lambda h: h.contains("amp")), "box").otherwise("oval")
     fill = F.when(F.size("hostnames") > 0, "#FF0000").otherwise(F.coalesce("colour", F.lit("#FFFFFF")))
-    style = F.concat(F.lit('style="filled", shape="'), shape, F.lit('", fillcolor="'), fill, F.lit('"'))
+    style = F.concat(F.lit("style=filled, shape="), shape, F.lit(', fillcolor="'), fill, F.lit('"'))
     quote = lambda c: F.concat(F.lit('"'), F.replace(c, F.lit('"'), F.lit('\\"')), F.lit('"'))
     one = lambda part, text: vertices.sparkSession.range(1).select(F.lit(part).alias("part"), F.lit("").alias("key"), F.lit(text).alias("line"))
     node = F.concat(F.lit("  "), quote(F.col("uid")), F.lit(" ["), style, F.lit("];"))

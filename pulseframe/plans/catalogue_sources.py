@@ -432,7 +432,7 @@ def tuning_quality(spark, sf):
     y AS (SELECT as_number, '#' || string_agg(upper(lpad(hex(floor((0.95::DOUBLE * (1 - 0.5::DOUBLE * greatest(0.0::DOUBLE, least(1.0::DOUBLE, least(x, 6 - x) - 1)))) * 255 + 0.5::DOUBLE)::BIGINT), 2, '0')), '' ORDER BY i) AS colour FROM r GROUP BY as_number),
     w AS (SELECT uid, max(name) AS name, min(CASE WHEN address IS NOT NULL AND as_number > 0 THEN as_number END) AS as_number FROM v GROUP BY uid)
     SELECT 0 AS part, '' AS key, 'strict digraph G {{' AS line UNION ALL SELECT 3, '', '}}'
-    UNION ALL SELECT 1, uid, '  "' || uid || '" [style="filled", shape="oval", fillcolor="' || CASE WHEN name IS NOT NULL THEN '#FF0000' ELSE coalesce(colour, '#FFFFFF') END || '"];' FROM w LEFT JOIN y USING (as_number)
+    UNION ALL SELECT 1, uid, '  "' || uid || '" [style=filled, shape=oval, fillcolor="' || CASE WHEN name IS NOT NULL THEN '#FF0000' ELSE coalesce(colour, '#FFFFFF') END || '"];' FROM w LEFT JOIN y USING (as_number)
     UNION ALL SELECT 2, src || '|' || dst, '  "' || src || '" -> "' || dst || '";' FROM e""")
 def dot_graph(spark, sf):
     paths = _paths(spark, sf)
