@@ -60,7 +60,7 @@ class Tokens(dict):
     characters not at all. Any other tokenizer encodes the whole text, plainly.
     """
 
-    def __init__(self, path: str, most_bytes: int = 32_000_000, longest: int = 200):
+    def __init__(self, path: str, most_bytes: int = 48_000_000, longest: int = 200):
         from tokenizers import Tokenizer
 
         super().__init__({"": b""})
