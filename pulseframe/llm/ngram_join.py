@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pulseframe.llm.common import Scratch, components, dealt_anew, fresh, kind_of, quoted
+from pulseframe.llm.common import Scratch, components, dealt_anew, fresh, give_back, kind_of, quoted
 
 _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
 CHUNKS = 64
@@ -88,6 +88,7 @@ def frequency_classes(docs: DataFrame, words: int, bits: int = 20, text_col: str
     part = 1 << bits >> 6
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        give_back()
         total = np.zeros(1 << bits, np.int64)
         for b in batches:
             for at in range(0, b.num_rows, 200):
@@ -131,6 +132,7 @@ def _sets(docs: DataFrame, words: int, share: int, classes) -> DataFrame:
     """Of each document its set's size, a 128-bit fingerprint, and the prefix: its rarest n-grams, as many as a partner over the threshold can't all miss."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        give_back()
         rare = classes.value
         shift = np.uint64(64 - (len(rare).bit_length() - 1))
         for b in batches:
@@ -167,6 +169,7 @@ def _verified(pairs: DataFrame, docs: DataFrame, words: int, share: int) -> Data
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        give_back()
         last, known = None, None
         for b in batches:
             keep = []

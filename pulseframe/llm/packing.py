@@ -20,6 +20,8 @@ from struct import pack as to_bytes
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from pulseframe.llm.common import give_back
+
 #: Window lengths, in tokens.
 TIERS = (512, 1024, 2048, 4096)
 LENGTH = itemgetter(2)
@@ -60,19 +62,19 @@ class Tokens(dict):
     characters not at all. Any other tokenizer encodes the whole text, plainly.
     """
 
-    def __init__(self, path: str, most_bytes: int = 48_000_000, longest: int = 200):
+    def __init__(self, path: str, most_bytes: int = 32_000_000, longest: int = 200):
         from tokenizers import Tokenizer
 
         super().__init__({"": b""})
         tokenizer = Tokenizer.from_file(path)
-        made = json.loads(tokenizer.to_str())
+        part = lambda x: None if x is None else json.loads(x.__getstate__())
         # a special token is met by the plain encoding of its chunk, so it must lie in one and not be a word
-        self._special = [x["content"] for x in made["added_tokens"]]
+        self._special = [x.content for x in tokenizer.get_added_tokens_decoder().values()]
         self.chunked = (
-            made["normalizer"] == NORMALIZER
-            and made["pre_tokenizer"] == PRE_TOKENIZER
-            and made["model"]["type"] == "BPE"
-            and not made["model"]["dropout"]
+            part(tokenizer.normalizer) == NORMALIZER
+            and part(tokenizer.pre_tokenizer) == PRE_TOKENIZER
+            and type(tokenizer.model).__name__ == "BPE"
+            and not tokenizer.model.dropout
             and not any(c.isspace() for x in self._special for c in x)
             and not any(x.rstrip(punctuation).isalpha() or not x.rstrip(punctuation) for x in self._special)
         )
@@ -212,7 +214,7 @@ def pack(
     text_col: str = "text",
     tiers: tuple[int, ...] = TIERS,
     end_id: int = 2,
-    block_tokens: int = 2_000_000,
+    block_tokens: int = 1_000_000,
     group_size: int = 64,
 ) -> DataFrame:
     """The pieces of all documents: their ids, place in the document, place in a sequence.
@@ -238,6 +240,7 @@ def pack(
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
+        give_back()
         tokens = Tokens(tokenizer)
         first = group = TaskContext.get().partitionId() << 36
         # of each document in part: id, ids from where it begins, that place, all its tokens
