@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -14,28 +16,74 @@ def quoted_split(c: Column, separators: str = ", ") -> Column:
     return F.split(c, f"[{separators}]{UNQUOTED}", -1)
 
 
+def bound(c: Column, f: Callable[[Column], Column]) -> Column:
+    """f of c, which is worked out once a row however often f names it."""
+    return F.transform(F.array(c), f)[0]
+
+
+def _unquoted(c: Column, separator: str) -> Column:
+    """The parts of c between one separator outside quotes; without quotes no regular expression is needed."""
+    return F.when(F.contains(c, F.lit('"')), F.split(c, f"{separator}{UNQUOTED}", -1)).otherwise(F.split(c, separator, -1))
+
+
 def line_protocol(line: Column) -> Column:
     """A line as struct(name, tags, fields, time in ms), or null if it isn't one: a k=v of other than two parts spoils the whole line.
 
-    Times of ns are cut to ms.
+    Times of ns are cut to ms. Each part is split once: what is used more than
+    once is bound, since these expressions are not shared otherwise.
     """
-    parts = F.split(line, f" {UNQUOTED}", -1)
-    head, fields, time = F.try_element_at(parts, F.lit(1)), F.try_element_at(parts, F.lit(2)), F.try_element_at(parts, F.lit(3))
-    names = F.split(head, f",{UNQUOTED}", -1)
-    pairs = lambda a: F.transform(a, lambda kv: F.split(kv, f"={UNQUOTED}", -1))
-    tag_pairs = pairs(F.slice(names, F.lit(2), F.greatest(F.size(names) - 1, F.lit(0))))
-    field_pairs = pairs(F.split(fields, f",{UNQUOTED}", -1))
+    pairs = lambda a: F.transform(a, lambda kv: _unquoted(kv, "="))
     sound = lambda a: F.forall(a, lambda x: F.size(x) == 2)
-    entries = lambda a: F.map_from_entries(_last_of_key(F.transform(a, lambda x: F.struct(x[0].alias("key"), x[1].alias("value")))))
-    ns = time.try_cast("bigint")
-    ms = F.round((ns - F.pmod(ns, F.lit(1_000_000))) / 1_000_000).cast("bigint")  # a double holds the quotient, not ns itself
-    whole = F.struct(F.element_at(names, 1).alias("name"), entries(tag_pairs).alias("tags"), entries(field_pairs).alias("fields"), ms.alias("time_ms"))
-    return F.when((F.size(parts) == 3) & sound(tag_pairs) & sound(field_pairs) & ns.isNotNull(), whole)
+    entries = lambda a: F.map_from_entries(_first_of_key(F.transform(a, lambda x: F.struct(x[0].alias("key"), x[1].alias("value")))))
+
+    def of_parts(parts: Column) -> Column:
+        head, fields, time = (F.try_element_at(parts, F.lit(i)) for i in (1, 2, 3))
+        split = F.struct(_unquoted(head, ",").alias("names"), pairs(_unquoted(fields, ",")).alias("fields"), time.try_cast("bigint").alias("ns"))
+        return F.when(F.size(parts) == 3, bound(split, of_split))
 
+    def of_split(s: Column) -> Column:
+        return bound(pairs(F.slice(s["names"], F.lit(2), F.greatest(F.size(s["names"]) - 1, F.lit(0)))), lambda tags: F.when(sound(tags) & sound(s["fields"]) & s["ns"].isNotNull(), whole(s, tags)))
 
-def _last_of_key(entries: Column) -> Column:
+    def whole(s: Column, tags: Column) -> Column:
+        return F.struct(F.element_at(s["names"], 1).alias("name"), entries(tags).alias("tags"), entries(s["fields"]).alias("fields"), ns_to_ms(s["ns"]).alias("time_ms"))
+
+    return bound(_unquoted(line, " "), of_parts)
+
+
+def _first_of_key(entries: Column) -> Column:
     """Entries whose key hasn't come before: the first of a key counts."""
-    return F.filter(entries, lambda x, i: ~F.exists(F.slice(entries, F.lit(1), i), lambda y: y["key"] == x["key"]))
+    once = lambda s: F.filter(s["entries"], lambda x, i: F.array_position(s["keys"], x["key"]) == i + 1)
+    return bound(entries, lambda a: bound(F.struct(a.alias("entries"), a["key"].alias("keys")), once))
+
+
+# Parts of a line in which quotes are closed: up to a space, an item up to a comma, a key or value. Possessive, so they take linear time.
+_PART, _ITEM, _TOKEN = (f'[^{x}"]*+(?:"[^"]*+"[^{x}"]*+)*+' for x in (" ", ",", " ,="))
+_PAIR = f"{_TOKEN}={_TOKEN}"
+
+
+def unusual_line(line: Column) -> Column:
+    """Whether a quote is left open, or the line is so long that expressions would nest too deep; such lines are for ``line_protocol`` alone."""
+    quotes = F.length(line) - F.length(F.replace(line, F.lit('"'), F.lit("")))
+    return (F.length(line) > 2048) | (quotes % 2 == 1)
+
+
+def sound_line(line: Column, name: str) -> Column:
+    """Whether a line that isn't unusual is one of that name by the rules of ``line_protocol``."""
+    return line.rlike(rf"\A{name}(?:,{_PAIR})*+ {_PAIR}(?:,{_PAIR})*+ {_PART}\z")
+
+
+def line_part(line: Column, i: int) -> Column:
+    """The tags with the name (1), fields (2) or time (3) of a sound line."""
+    return F.regexp_extract(line, rf"\A({_PART}) ({_PART}) ({_PART})\z", i)
+
+
+def line_value(part: Column, key: str) -> Column:
+    """The value of a key, the first if there are several, in the tags or fields of a sound line; null without it."""
+    return F.try_element_at(F.regexp_extract_all(part, F.lit(rf"\A(?:{_ITEM},)*?{key}=({_TOKEN})(?:,|\z)"), F.lit(1)), F.lit(1))
+
+
+def ns_to_ms(ns: Column) -> Column:
+    return F.round((ns - F.pmod(ns, F.lit(1_000_000))) / 1_000_000).cast("bigint")  # a double holds the quotient, not ns itself
 
 
 def int_field(c: Column) -> Column:
@@ -59,7 +107,8 @@ def bool_field(c: Column) -> Column:
 def rtt_list(c: Column) -> Column:
     """"[1, None]" as an array of integers, None as null."""
     inner = F.trim(F.regexp_replace(string_field(c), r"^\[|\]$", ""))
-    return F.when(c.isNull(), None).when(inner == "", F.array().cast("array<int>")).otherwise(F.transform(F.split(inner, ","), lambda x: F.trim(x).try_cast("int")))
+    numbers = lambda t: F.when(t == "", F.array().cast("array<int>")).otherwise(F.transform(F.split(t, ","), lambda x: F.trim(x).try_cast("int")))
+    return F.when(c.isNotNull(), bound(inner, numbers))
 
 
 def inet_list(c: Column) -> Column:
@@ -100,8 +149,8 @@ def compose_stream(*parts: Column) -> Column:
 
 def stream_tags(stream: Column) -> Column:
     """The tags that a composed stream name carries, or null with under four parts."""
-    p = F.split(stream, "--", -1)
-    return F.when(F.size(p) >= 4, F.create_map(F.lit("measurement_type"), p[0], F.lit("source"), p[1], F.lit("destination"), p[2], F.lit("test"), p[3]))
+    tags = lambda p: F.when(F.size(p) >= 4, F.create_map(F.lit("measurement_type"), p[0], F.lit("source"), p[1], F.lit("destination"), p[2], F.lit("test"), p[3]))
+    return bound(F.split(stream, "--", -1), tags)
 
 
 def event_line(table: str | None = None) -> Column:

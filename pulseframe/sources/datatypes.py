@@ -87,23 +87,36 @@ def datatype(name: str, family: str = "amp") -> Datatype:
 
 def of_lines(lines: DataFrame, kind: Datatype, column: str = "value") -> DataFrame:
     """The measurements of that type among lines of line protocol, typed, with stream, time, value and is_lossy. Other lines and broken ones are left out."""
-    rows = lines.withColumn("_l", text.line_protocol(F.col(column))).where(F.col("_l").isNotNull() & (F.col("_l.name") == kind.table))
+    # what a generator gives is neither inlined nor filtered before it, so that each step is done once a line
+    once = lambda df, c, name: df.select(F.explode(F.array(c)).alias(name))
+    line = F.col("_line")
+    rows = once(lines, F.col(column), "_line").where(line.startswith(kind.table) & (text.unusual_line(line) | text.sound_line(line, kind.table)))
+    # nearly all lines are searched for the columns that are wanted; only unusual ones become maps
+    hard = F.when(text.unusual_line(line), text.line_protocol(line))
+    ms = F.when(text.unusual_line(line), F.when(hard["name"] == kind.table, hard["time_ms"])).otherwise(text.ns_to_ms(text.line_part(line, 3).try_cast("bigint")))
+    rows = once(rows, F.struct(text.line_part(line, 1).alias("head"), text.line_part(line, 2).alias("body"), ms.alias("ms"), text.unusual_line(line).alias("unusual"), hard.alias("hard")), "_l").where("_l.ms is not null")
     if kind.table == "latency":
-        rows = rows.where(F.col("_l.tags")["test"] == kind.name.removeprefix("latency"))
-    return measured(rows.select(*_columns(kind), F.timestamp_millis("_l.time_ms").alias("time"), _stream(kind).alias("stream")), kind)
+        rows = rows.where(_found(kind, "test") == kind.name.removeprefix("latency"))
+    return measured(rows.select(*_columns(kind), F.timestamp_millis("_l.ms").alias("time"), _stream(kind).alias("stream")), kind)
+
+
+def _found(kind: Datatype, name: str, then=lambda c: c) -> Column:
+    """A tag or field of the line _l. A function of its own: looked up side by side in one they would make more code than Java compiles."""
+    part, entries = ("head", "tags") if name in kind.tags or name == "stream" else ("body", "fields")
+    return text.bound(F.col("_l"), lambda x: then(F.when(x["unusual"], x["hard"][entries][name]).otherwise(text.line_value(x[part], name))))
 
 
 def _columns(kind: Datatype) -> list[Column]:
     names = dict.fromkeys(kind.tags, "string") | kind.fields
-    return [(F.col("_l.tags")[n] if n in kind.tags else _CASTS[k](F.col("_l.fields")[n])).alias(n) for n, k in names.items()]
+    return [(_found(kind, n) if n in kind.tags else _found(kind, n, _CASTS[k])).alias(n) for n, k in names.items()]
 
 
 def _stream(kind: Datatype) -> Column:
     if kind.family == "amp":
-        return F.col("_l.tags")["stream"]
+        return _found(kind, "stream")
     if kind.family == "bigdata":
-        return F.regexp_replace(F.col("_l.fields")["flow_id"], "i$", "")
-    return text.compose_stream(F.lit(kind.table), *(F.coalesce(F.col("_l.tags")[t], F.lit("")) for t in kind.tags))
+        return _found(kind, "flow_id", lambda c: F.regexp_replace(c, "i$", ""))
+    return text.compose_stream(F.lit(kind.table), *(F.coalesce(_found(kind, t), F.lit("")) for t in kind.tags))
 
 
 def measured(rows: DataFrame, kind: Datatype) -> DataFrame:

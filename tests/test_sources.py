@@ -6,6 +6,7 @@ from datetime import datetime
 import pytest
 from pyspark.sql import functions as F
 
+from pulseframe.functions import text
 from pulseframe.operators import runtime
 from pulseframe.operators.detectors import Baseline
 from pulseframe.plans import dag
@@ -200,3 +201,26 @@ def test_pushed_lines_land_and_stream(spark, tmp_path):
     q = pushed(spark, str(tmp_path / "in"), datatypes.datatype("icmp")).select("stream", "value").writeStream.format("memory").queryName("pushed").trigger(availableNow=True).start()
     q.awaitTermination()
     assert sorted((x.stream, x.value) for x in spark.table("pushed").collect()) == [("0", 5.0), ("1", 5.0), ("2", 5.0)]
+
+
+def test_lines_are_parsed_once(spark):
+    """Searched lines and those that only maps can say give the same, and the plan doesn't repeat the parser for each column."""
+    head, ns = "data_amp_http,stream={}", 1_700_000_000_000_000_000
+    lines = [
+        head.format("a") + f" bytes=1i,bytes=2i,duration=3i {ns}",  # the first of a key
+        head.format('"b c,d=e"') + f" bytes=,duration=4i {ns}",
+        head.format("c") + f' other="x, bytes=9i",bytes=5i {ns}',
+        head.format("d") + f' {"y" * 3000}=1,bytes=6i {ns}',  # long
+        head.format("e\\n") + f" bytes=7i {ns}",
+        head.format("f") + f" bytes=7i=8i {ns}", head.format("g") + f' bytes="7i {ns}', head.format("h") + " bytes=7i x", head.format("i") + f" bytes=7i {ns} ", f"data_amp_httpx,stream=j bytes=7i {ns}", head.format("k") + f"  bytes=7i {ns}",
+        f'"data_amp_http,stream=l bytes=8i {ns}', f"data_amp_http bytes=8i {ns}", head.format("m") + f" {ns}",
+    ]
+    df = spark.createDataFrame([(x,) for x in lines], "value string")
+    found = datatypes.of_lines(df, datatypes.datatype("http"))
+    maps = df.select(text.line_protocol(F.col("value")).alias("l")).where("l.name = 'data_amp_http'").select("l.tags", "l.fields").collect()
+    number = lambda x: int(x.rstrip("i")) if x and x.rstrip("i") else None
+    want = {(r.tags.get("stream"), number(r.fields.get("bytes")), number(r.fields.get("duration"))) for r in maps}
+    assert {(r.stream, r.bytes, r.duration) for r in found.collect()} == want and len(maps) == found.count() == 6
+    kind = datatypes.datatype("throughput", "amp2")
+    plan = datatypes.of_lines(df, kind)._jdf.queryExecution().optimizedPlan().toString()
+    assert len(plan) < 40_000 and plan.count("RLIKE") <= 1
