@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pulseframe.functions.severity import severity_col
+from pulseframe.functions.text import bound
 from pulseframe.operators.scratch import written
 from pulseframe.schemas import EVENT_COLUMNS
 
@@ -42,7 +43,7 @@ def baseline_steps(df: DataFrame, max_history: int = 50, percentile: float = 0.1
     if percentile * (max_history + 1) / 100 < 1:
         result = F.min("value").over(frame)
     else:
-        result = percentile_of(F.array_sort(F.collect_list("value").over(frame)), percentile)
+        result = bound(F.sort_array(F.collect_list("value").over(frame)), lambda v: percentile_of(v, percentile))  # array_sort would call a comparison a pair
     rows = df.where(~F.col("is_lossy") & F.col("value").isNotNull()).withColumns({"n": F.count("value").over(frame), "result": result})
     return rows.withColumn("previous", F.lag("result", 1, 0.0).over(order))
 
