@@ -12,8 +12,14 @@ from pulseframe.operators.components import components
 from pulseframe.operators.scratch import checkpoint_folder, written
 
 
-def traceroute_paths(traceroutes: DataFrame, metas: DataFrame, paths: DataFrame, as_paths: DataFrame) -> DataFrame:
-    """Traceroutes (stream, path_id, aspath_id, time) with meta (source, destination; required), path (addresses; required) and AS path (optional), as hops."""
+def traceroute_paths(traceroutes: DataFrame, metas: DataFrame, paths: DataFrame, as_paths: DataFrame, latest: bool = False) -> DataFrame:
+    """Traceroutes (stream, path_id, aspath_id, time) with meta (source, destination; required), path (addresses; required) and AS path (optional), as hops.
+
+    With ``latest`` each path once, at its last time, which is all that
+    vertices and edges need: they grow with the paths, not the traceroutes.
+    """
+    if latest:
+        traceroutes = traceroutes.groupBy("stream", "path_id", "aspath_id").agg(F.max("time").alias("time"))
     rows = traceroutes.join(metas.select("stream", "source", "destination"), "stream").join(paths.select("stream", "path_id", "path"), ["stream", "path_id"]).join(as_paths.select("stream", "aspath_id", "aspath"), ["stream", "aspath_id"], "left")
     return rows.select("stream", "path_id", "time", "source", "destination", zip_hops(F.col("path"), F.col("aspath")).alias("hops"))
 
@@ -253,7 +259,7 @@ def topology(traceroutes: DataFrame, metas: DataFrame, paths: DataFrame, as_path
     ``age_s`` before the last are pruned, and all but the largest component;
     anonymous hosts at the same place of parallel paths become one.
     """
-    routes = traceroute_paths(traceroutes, metas, paths, as_paths)
+    routes = traceroute_paths(traceroutes, metas, paths, as_paths, latest=True)
     hosts = with_hosts(routes).select(F.explode("hosts").alias("h")).select("h.*").distinct()
     links = edges(change_events(routes))
     if nodes is not None:

@@ -248,9 +248,9 @@ def _parts(spark, sf) -> tuple[DataFrame, DataFrame, DataFrame]:
     return metas, paths, as_paths
 
 
-def _paths(spark, sf) -> DataFrame:
+def _paths(spark, sf, latest: bool = False) -> DataFrame:
     t = _traceroutes(spark, sf).withColumn("time", F.timestamp_seconds("timestamp"))
-    return graph.traceroute_paths(t, *_parts(spark, sf))
+    return graph.traceroute_paths(t, *_parts(spark, sf), latest=latest)
 
 
 HOPS = f"""{ROUTES},
@@ -278,13 +278,13 @@ def graph_changes(spark, sf):
 @query("graph_vertices", f"""WITH {HOPS}
     SELECT uid, coalesce(string_agg(DISTINCT name, ',' ORDER BY name), '') AS hostnames, count(DISTINCT CASE WHEN address IS NOT NULL THEN address || '/' || as_number END) AS n_addresses, bool_and(name IS NULL AND address IS NULL) AS anonymous FROM v GROUP BY uid""")
 def graph_vertices(spark, sf):
-    return graph.vertices(_paths(spark, sf)).select("uid", F.array_join("hostnames", ",").alias("hostnames"), F.size("addresses").cast("long").alias("n_addresses"), "anonymous")
+    return graph.vertices(_paths(spark, sf, latest=True)).select("uid", F.array_join("hostnames", ",").alias("hostnames"), F.size("addresses").cast("long").alias("n_addresses"), "anonymous")
 
 
 @query("graph_as_categories", f"""WITH {HOPS}, a AS (SELECT DISTINCT uid, address, as_number FROM v WHERE address IS NOT NULL)
     SELECT CASE as_number WHEN -2 THEN 'private' WHEN -1 THEN 'missing' WHEN 0 THEN 'unknown' ELSE 'valid' END AS category, count(*) AS n FROM a GROUP BY 1""")
 def graph_as_categories(spark, sf):
-    return graph.category_counts(graph.vertices(_paths(spark, sf)))
+    return graph.category_counts(graph.vertices(_paths(spark, sf, latest=True)))
 
 
 EDGES = "e AS (SELECT a.uid AS src, b.uid AS dst, max(a.ts) * 1000 AS last_ms FROM v a JOIN v b ON a.o_orderkey = b.o_orderkey AND b.i = a.i + 1 WHERE a.uid <> b.uid GROUP BY ALL)"
@@ -292,7 +292,7 @@ EDGES = "e AS (SELECT a.uid AS src, b.uid AS dst, max(a.ts) * 1000 AS last_ms FR
 
 @query("graph_path_edges", f"WITH {HOPS}, {EDGES} SELECT src, dst, last_ms FROM e")
 def graph_path_edges(spark, sf):
-    return graph.edges(graph.change_events(_paths(spark, sf))).select("src", "dst", F.unix_millis("last_seen").alias("last_ms"))
+    return graph.edges(graph.change_events(_paths(spark, sf, latest=True))).select("src", "dst", F.unix_millis("last_seen").alias("last_ms"))
 
 
 # hosts that share an address are one, whatever the AS number that a path gave them
@@ -300,7 +300,7 @@ def graph_path_edges(spark, sf):
     k AS (SELECT v.uid, min(n.canonical) AS canonical FROM v JOIN n USING (address) WHERE name IS NULL GROUP BY v.uid)
     SELECT coalesce(a.canonical, src) AS src, coalesce(b.canonical, dst) AS dst, max(last_ms) AS last_ms FROM e LEFT JOIN k a ON a.uid = src LEFT JOIN k b ON b.uid = dst WHERE coalesce(a.canonical, src) <> coalesce(b.canonical, dst) GROUP BY 1, 2""")
 def graph_relabel(spark, sf):
-    changes = _paths(spark, sf)
+    changes = _paths(spark, sf, latest=True)
     hosts = graph.with_hosts(changes).select(F.explode("hosts").alias("h")).select("h.uid", "h.hostname", "h.address").distinct()
     first = hosts.where("address is not null").groupBy("address").agg(F.min("uid").alias("canonical"), F.count_distinct("uid").alias("n")).where("n > 1")
     aliases = hosts.where("hostname is null").join(first, "address").groupBy("uid").agg(F.min("canonical").alias("canonical"))
@@ -435,7 +435,7 @@ def tuning_quality(spark, sf):
     UNION ALL SELECT 1, uid, '  "' || uid || '" [style=filled, shape=oval, fillcolor="' || CASE WHEN name IS NOT NULL THEN '#FF0000' ELSE coalesce(colour, '#FFFFFF') END || '"];' FROM w LEFT JOIN y USING (as_number)
     UNION ALL SELECT 2, src || '|' || dst, '  "' || src || '" -> "' || dst || '";' FROM e""")
 def dot_graph(spark, sf):
-    paths = _paths(spark, sf)
+    paths = _paths(spark, sf, latest=True)
     return graph.dot_lines(graph.vertices(paths), graph.edges(graph.change_events(paths)))
 
 

@@ -286,3 +286,15 @@ def test_percentile_sorts_once(spark):
     values = [float(i * 7 % 11) for i in range(30)]
     for r in rows.collect():
         assert r.result == D.percentile(values[max(0, r.seq - 4) : r.seq + 1], 50)
+
+
+def test_latest_paths_give_the_same_graph(spark):
+    """A path that comes a thousand times is one row, and vertices and edges are as with all of them."""
+    rows = spark.range(1000).select((F.col("id") % 2).alias("stream"), (F.col("id") % 3).alias("path_id"), F.when(F.col("id") % 3 > 0, F.col("id") % 3).alias("aspath_id"), F.timestamp_seconds("id").alias("time"))
+    metas = spark.createDataFrame([(0, "a", "z"), (1, "b", "z")], "stream long, source string, destination string")
+    paths = spark.createDataFrame([(s, p, ["1", None if p else "2", "3"]) for s in range(2) for p in range(3)], "stream long, path_id long, path array<string>")
+    numbers = spark.createDataFrame([(s, 1, [7, 7, 7]) for s in range(2)], "stream long, aspath_id long, aspath array<int>")
+    every, last = (graph.traceroute_paths(rows, metas, paths, numbers, latest=x) for x in (False, True))
+    assert every.count() == 1000 and last.count() == 6
+    for f in (graph.vertices, lambda x: graph.edges(graph.change_events(x))):
+        assert sorted(map(str, f(every).collect())) == sorted(map(str, f(last).collect()))
