@@ -298,3 +298,16 @@ def test_latest_paths_give_the_same_graph(spark):
     assert every.count() == 1000 and last.count() == 6
     for f in (graph.vertices, lambda x: graph.edges(graph.change_events(x))):
         assert sorted(map(str, f(every).collect())) == sorted(map(str, f(last).collect()))
+
+
+def test_end_distances_by_bits(spark, monkeypatch):
+    """Over several components, with more ends than a row has bits, as one join a hop finds them."""
+    monkeypatch.setattr(graph, "_WORDS", 1)
+    links = [(f"s{i}", f"p{i % 3}") for i in range(150)] + [("s0", "p1"), ("s1", "p2"), ("x1", "y"), ("x2", "y"), ("y", "y")]
+    edges = spark.createDataFrame(links, "src string, dst string")
+    ends = spark.createDataFrame([(f"s{i}",) for i in range(0, 150, 2)] + [("x1",), ("x2",), ("alone",), ("p3",)], "uid string")
+    for most in (None, 3):
+        slow = graph.hop_distances(edges, ends, most).join(ends.withColumnRenamed("uid", "node"), "node", "left_semi").select("origin", "node", "hops")
+        got = graph.end_distances(edges, ends, most)
+        assert sorted(got.collect()) == sorted(slow.collect())
+    assert got.where("origin = 'alone'").collect()[0][:] == ("alone", "alone", 0)
