@@ -2,8 +2,10 @@
 
 State is one string of JSON per key in the state store, so it can be looked at
 and moved. Rows of a micro-batch are taken in order of time within each key;
-``windowed`` holds them back until the watermark has passed their window, so
-that later batches can't bring earlier rows, and drops what comes after that.
+windows hold them back until the watermark has passed them, so that later
+batches can't bring earlier rows, and drop what comes after that. What is held
+lies beside the JSON, by window, as packed columns that are written once and
+read once.
 """
 
 from __future__ import annotations
@@ -12,7 +14,9 @@ import json
 from collections.abc import Iterator
 from typing import Any
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
@@ -45,52 +49,122 @@ class _Keyed(StatefulProcessor):
         pass
 
 
+PACKED = "ms binary, seq binary, value binary, is_lossy binary"
+
+
+class _Rows:
+    """Rows of one key as columns: ms, seq, value (NaN: null), lossy. Packed, each column is its bytes, numbers little-endian."""
+
+    TYPES = ("<i8", "<i8", "<f8", "?")
+
+    def __init__(self, columns: list[np.ndarray]):
+        self.columns = columns
+
+    @classmethod
+    def unpacked(cls, parts: list[tuple]) -> _Rows:
+        return cls([np.frombuffer(b"".join(map(bytes, c)), t) for c, t in zip(zip(*parts, strict=True) if parts else [()] * 4, cls.TYPES, strict=True)])
+
+    def packed(self) -> tuple:
+        return tuple(c.tobytes() for c in self.columns)
+
+    def __len__(self) -> int:
+        return len(self.columns[0])
+
+    def taken(self, which: np.ndarray | slice) -> _Rows:
+        return _Rows([c[which] for c in self.columns])
+
+    def ordered(self) -> _Rows:
+        return self.taken(np.lexsort((self.columns[1], self.columns[0])))
+
+    def slices(self, size: int = 10_000) -> Iterator[Iterator[tuple]]:
+        """(ms, value or None, lossy), a slice at a time."""
+        for i in range(0, len(self), size):
+            t, _, v, x = (c[i : i + size].tolist() for c in self.columns)
+            yield zip(t, (None if y != y else y for y in v), x, strict=True)
+
+
+def packed(rows: DataFrame) -> DataFrame:
+    """Rows (stream, ms, seq, value, is_lossy) with those of one stream in an Arrow batch packed as one, since what goes to a stateful step goes row by row."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        schema = pa.schema([("stream", pa.string()), *((c, pa.binary()) for c in ("ms", "seq", "value", "is_lossy"))])
+        for b in batches:
+            names = b.column(0).dictionary_encode(null_encoding="encode")
+            codes = names.indices.to_numpy()
+            order = np.argsort(codes, kind="stable")
+            fills = (None, None, float("nan"), False)
+            columns = [(c if f is None else c.fill_null(f)).to_numpy(zero_copy_only=False).astype(t)[order] for c, f, t in zip(b.columns[1:], fills, _Rows.TYPES, strict=True)]
+            cuts = [0, *(np.flatnonzero(np.diff(codes[order])) + 1).tolist(), len(codes)]
+            spans = [(i, j) for i, j in zip(cuts, cuts[1:]) if i < j]
+            first = names.dictionary.take(pa.array(codes[order][[i for i, _ in spans]]))
+            yield pa.RecordBatch.from_arrays([first.cast(pa.string()), *(pa.array([c[i:j].tobytes() for i, j in spans], pa.binary()) for c in columns)], schema=schema)
+
+    return rows.mapInArrow(run, "stream string, " + PACKED)
+
+
 class DetectorProcessor(_Keyed):
     """A detector over one stream, and on request the suppression of its frequent events, which goes by the same key."""
 
+    BLOCK = 200_000  # rows that are put by window at once
+
     def __init__(self, detector: Detector, window_ms: int = 0, configs=None):
         self._detector, self._window, self._configs = detector, window_ms, configs
 
-    def _fresh(self) -> dict:
-        return {"d": self._detector.start(), "held": [], "f": None if self._configs is None else frequency.start(self._configs)}
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        super().init(handle)
+        if self._window:
+            self._held = handle.getMapState("held", "end long, part int", PACKED)
 
-    def _step(self, saved: dict, rows: list) -> list[Event]:
-        out = []
-        for t, _, v, x in rows:
-            found = self._detector.step(saved["d"], t, v, x)
-            if self._configs is not None:
-                found = sorted(found, key=lambda e: (e.time_ms, e.event_type, e.description))
-                found = [y for e in found for y in frequency.step(saved["f"], e, self._configs)]
-            out += found
-        return out
+    def _fresh(self) -> dict:
+        """``held`` has the number of parts by the end of their window."""
+        return {"d": self._detector.start(), "held": {}, "f": None if self._configs is None else frequency.start(self._configs)}
+
+    def _step(self, saved: dict, rows: _Rows, key) -> Iterator[pd.DataFrame]:
+        for part in rows.ordered().slices():
+            out = []
+            for t, v, x in part:
+                found = self._detector.step(saved["d"], t, v, x)
+                if found and self._configs is not None:
+                    found = sorted(found, key=lambda e: (e.time_ms, e.event_type, e.description))
+                    found = [y for e in found for y in frequency.step(saved["f"], e, self._configs)]
+                out += found
+            if out:
+                yield _frame([(key[0], e) for e in out])
+
+    def _hold(self, held: dict, rows: _Rows, passed: int) -> None:
+        """Puts rows by window, with one timer a window; what is late goes."""
+        ends = (rows.columns[0] // self._window + 1) * self._window
+        for end in np.unique(ends[ends > passed]).tolist():
+            n = held.get(str(end), 0)
+            self._held.updateValue((end, n), rows.taken(ends == end).packed())
+            held[str(end)] = n + 1
+            if not n:
+                self._handle.registerTimer(end)
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        saved = self._load(self._fresh())
-        arrived = [[int(t), int(s), None if v is None or pd.isna(v) else float(v), bool(x)] for f in rows for t, s, v, x in zip(f["ms"], f["seq"], f["value"], f["is_lossy"], strict=True)]
-        arrived.sort(key=lambda r: (r[0], r[1]))
-        events = []
-        if not self._window:
-            events = self._step(saved, arrived)
+        saved, arrived, n = self._load(self._fresh()), [], 0
+        for f in rows:
+            arrived += f[["ms", "seq", "value", "is_lossy"]].itertuples(index=False, name=None)
+            if self._window:
+                n += sum(len(x) for x in f["is_lossy"])
+                if n >= self.BLOCK:
+                    self._hold(saved["held"], _Rows.unpacked(arrived), timerValues.getCurrentWatermarkInMs())
+                    arrived, n = [], 0
+        if self._window:
+            self._hold(saved["held"], _Rows.unpacked(arrived), timerValues.getCurrentWatermarkInMs())
         else:
-            passed = timerValues.getCurrentWatermarkInMs()
-            for r in arrived:
-                end = (r[0] // self._window + 1) * self._window
-                if end > passed:
-                    saved["held"].append(r)
-                    self._handle.registerTimer(end)
+            yield from self._step(saved, _Rows.unpacked(arrived), key)
         self._save(saved)
-        if events:
-            yield _frame([(key[0], e) for e in events])
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        end = expiredTimerInfo.getExpiryTimeInMs()
         saved = self._load(self._fresh())
-        due = sorted((r for r in saved["held"] if r[0] < end), key=lambda r: (r[0], r[1]))
-        saved["held"] = [r for r in saved["held"] if r[0] >= end]
-        events = self._step(saved, due)
+        for end in sorted(int(e) for e in saved["held"] if int(e) <= expiredTimerInfo.getExpiryTimeInMs()):
+            parts = [(end, i) for i in range(saved["held"].pop(str(end)))]
+            rows = _Rows.unpacked([tuple(self._held.getValue(p)) for p in parts])
+            for p in parts:
+                self._held.removeKey(p)
+            yield from self._step(saved, rows, key)
         self._save(saved)
-        if events:
-            yield _frame([(key[0], e) for e in events])
 
 
 def detect_stream(measurements: DataFrame, detector: Detector, window_s: float | None = None, lateness: str = "20 seconds", configs=None) -> DataFrame:
@@ -102,7 +176,7 @@ def detect_stream(measurements: DataFrame, detector: Detector, window_s: float |
     """
     rows = measurements.where("time is not null").withWatermark("time", lateness)
     value = F.col("value") if "value" in measurements.columns else F.lit(None).cast("double")
-    rows = rows.select("time", "stream", F.unix_millis("time").alias("ms"), "seq", value.alias("value"), "is_lossy")
+    rows = packed(rows.select("stream", F.unix_millis("time").alias("ms"), "seq", value.alias("value"), "is_lossy"))
     processor = DetectorProcessor(detector, round((window_s or 0) * 1000), configs)
     mode = "EventTime" if window_s else "None"
     return timed(rows.groupBy("stream").transformWithStateInPandas(statefulProcessor=processor, outputStructType=_RAW, outputMode="Append", timeMode=mode))

@@ -136,3 +136,65 @@ def test_a_streaming_flow_with_restarts_gives_what_the_batch_flow_gives(spark, t
     assert groups["batch"] and groups["stream"] == groups["batch"]
     inside = {k: known(lines_of(tmp_path / k / "lines/events_in_groups")) for k in ("batch", "stream")}
     assert inside["batch"] and inside["stream"] == inside["batch"]
+
+
+class State(dict):
+    """A state store in memory that counts its calls; as a value it is the entry None."""
+
+    calls = 0
+
+    def exists(self):
+        return None in self
+
+    def get(self):
+        return self[None]
+
+    def update(self, value):
+        self[None] = value
+
+    def updateValue(self, key, value):
+        self.calls, self[key] = self.calls + 1, value
+
+    def getValue(self, key):
+        return self[key]
+
+    def removeKey(self, key):
+        del self[key]
+
+
+class Handle:
+    def __init__(self):
+        self.value, self.held, self.timers = State(), State(), []
+
+    def getValueState(self, name, schema):
+        return self.value
+
+    def getMapState(self, name, key, value):
+        return self.held
+
+    def registerTimer(self, at):
+        self.timers.append(at)
+
+    getCurrentWatermarkInMs = lambda self: 0
+
+
+def test_held_rows_cost_a_timer_and_a_part_a_window_and_stay_out_of_the_json(spark):
+    """One row of a stream in an Arrow batch, and each window's rows read once, in order."""
+    df = spark.createDataFrame([("a" if i % 3 else None, (i * 7919) % 5000, i, None if i % 10 == 0 else float(i), i % 4 == 0) for i in range(5000)], "stream string, ms long, seq long, value double, is_lossy boolean")
+    frames = S.packed(df.coalesce(1)).toPandas()
+    assert len(frames) == 2 and frames["stream"].isna().sum() == 1
+    handle, seen = Handle(), []
+
+    class Seen(D.Loss):
+        def step(self, state, t, value, lossy):
+            seen.append((t, value, lossy))
+            return []
+
+    p = S.DetectorProcessor(Seen(), 1000)
+    p.init(handle)
+    one = frames[frames["stream"] == "a"]
+    assert list(p.handleInputRows(("a",), iter([one]), handle)) == []
+    assert handle.timers == [1000, 2000, 3000, 4000, 5000] and handle.held.calls == 5 and len(handle.value[None][0]) < 500
+    for end in handle.timers:
+        list(p.handleExpiredTimer(("a",), handle, type("Expired", (), {"getExpiryTimeInMs": lambda self, end=end: end})()))
+    assert seen == sorted((r.ms, r.value, r.is_lossy) for r in df.where("stream = 'a'").collect()) and not handle.held
