@@ -10,6 +10,7 @@ from __future__ import annotations
 import json
 import math
 from collections import Counter
+from collections.abc import Callable
 from dataclasses import dataclass, field, fields
 from typing import Any, ClassVar
 
@@ -57,6 +58,16 @@ class Detector:
         """Numbers to look at before a step is taken; none by default."""
         return None
 
+    def steps(self, state: dict[str, Any], times: list, values: list, lossy: list, told: Callable | None = None) -> list[Event]:
+        """The events of many rows in order. ``told`` gets times and columns of what ``describe`` says before the steps."""
+        out = []
+        for t, v, x in zip(times, values, lossy, strict=True):
+            detail = self.describe(state, v) if told and v is not None and not x else None
+            if detail:
+                told([t], {k: [y] for k, y in detail.items()})
+            out += self.step(state, t, v, x)
+        return out
+
     def parameters(self) -> dict[str, Any]:
         return {f.name: getattr(self, f.name) for f in fields(self)}
 
@@ -494,6 +505,70 @@ class Changepoint(Detector):
         return out
 
 
+    def steps(self, state, times, values, lossy, told=None):
+        """By blocks while the likeliest run stays, else row by row. A block that ends early is followed by a short one, one without rows by a pause."""
+        rows = [(t, v) for t, v, x in zip(times, values, lossy, strict=True) if v is not None and not x]
+        ts, vs = np.array([r[0] for r in rows], np.int64), np.array([r[1] for r in rows], float)
+        out, i, block, pause = [], 0, 64, 0
+        while i < len(rows):
+            if not pause and state["odd"] == state["back"] == 0 and np.shape(state["runs"])[-1] == self.max_history > 2:
+                want = min(block, len(rows) - i)
+                done = self._settled(state, ts[i : i + want], vs[i : i + want], told)
+                block, pause = min(2 * block, 2048) if done == want else 64, 0 if done else self.max_history
+                i += done
+            if i < len(rows):
+                out += super().steps(state, [rows[i][0]], [rows[i][1]], [False], told)
+                i, pause = i + 1, max(0, pause - 1)
+        return out
+
+    def _settled(self, state, ts: np.ndarray, ys: np.ndarray, told) -> int:
+        """Takes rows as long as the likeliest run has the same place, and says how many; the numbers are those of single steps.
+
+        Of full runs, mean and variance at each place follow from the values
+        alone, so they are made a place at a time for the whole block; only
+        the probabilities go row by row.
+        """
+        latest = np.maximum.accumulate(np.append(state["last"], ts))
+        if self.inactivity:
+            stale = np.flatnonzero(ts - latest[:-1] > self.inactivity * 1000)
+            if len(stale):
+                ts, ys = ts[: stale[0]], ys[: stale[0]]
+        runs, k, b, at = np.asarray(state["runs"], float), self.max_history, len(ys), state["at"]
+        if not b:
+            return 0
+        mean, variance, p = np.empty((k, b + 1)), np.empty((k, b + 1)), np.empty((b + 1, k))
+        mean[:, 0], variance[:, 0], p[0] = runs[0], runs[1], runs[3]
+        mean[0, 1:], variance[0, 1:] = ys, 1e8 / 2
+        with np.errstate(all="ignore"):
+            for n in range(1, k):
+                before = 0.0 if n == 1 else float(n)
+                mean[n, 1:] = (mean[n - 1, :-1] * before + ys) / (before + 1)
+                variance[n, 1:] = (variance[n - 1, :-1] * n + (ys - mean[n, 1:]) * (ys - mean[n - 1, :-1])) / (n + 1)
+            density = self.densities(np.stack([mean[:, :-1], variance[:, :-1]]), ys)
+            likely, part, total = np.empty(k), np.empty(k), np.empty(k)
+            lost, kept = self.HAZARD, 1 - self.HAZARD
+            multiply, add = np.multiply, np.add.accumulate
+            for d, old, new in zip(np.ascontiguousarray(density.T), p, p[1:], strict=False):
+                multiply(d, old, out=likely)
+                multiply(likely, lost, out=part)
+                add(part, out=total)
+                multiply(likely, kept, out=part)
+                new[0] = total[-1]
+                new[1:] = part[:-1]
+                new[-1] += part[-1]
+                add(new, out=total)
+                new /= total[-1]
+        plain = np.isfinite(p[1:]).all(axis=1) & (p[1:, :-1].argmax(axis=1) == at)
+        m = b if plain.all() else int(plain.argmin())
+        if told and m:
+            best, rows = p[:m, :-1].argmax(axis=1), np.arange(m)
+            told(ts[:m], {"value": ys[:m], "runs": np.full(m, float(k)), "likeliest": best.astype(float), "mean": mean[best, rows], "variance": variance[best, rows], "n": runs[2, best], "probability": p[rows, best], "density": density[best, rows], "odd": np.zeros(m)})
+        if m:
+            starts = np.concatenate([ts[:m][::-1][:k].astype(float), runs[4]])[:k]
+            state.update(runs=np.stack([mean[:, m], variance[:, m], runs[2], p[m], starts]), last=int(latest[m]))
+        return m
+
+
 @dataclass
 class Threshold(Detector):
     """Every value over the threshold is an event of severity 10."""

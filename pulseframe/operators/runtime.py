@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from functools import reduce
+from itertools import groupby
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -43,6 +45,20 @@ def timed(raw: DataFrame) -> DataFrame:
     return raw.select("event_type", "stream", "severity", F.timestamp_millis("_ms").alias("time"), "detection_latency", "description", "tags")
 
 
+def _stretches(batches: Iterator[pa.RecordBatch], detector: Detector) -> Iterator[tuple]:
+    """(stream, state, times, values, lossy) of each batch's stretch of one stream."""
+    stream, state, first = None, None, True
+    for b in batches:
+        names, *columns = (b.column(i).to_pylist() for i in (0, 1, 3, 4))
+        i = 0
+        for s, same in groupby(names):
+            n = sum(1 for _ in same)
+            if first or s != stream:
+                stream, state, first = s, detector.start(), False
+            yield s, state, *(c[i : i + n] for c in columns)
+            i += n
+
+
 def detect(measurements: DataFrame, detector: Detector) -> DataFrame:
     """The detector's events over each stream in order of time, then seq.
 
@@ -56,13 +72,8 @@ def detect(measurements: DataFrame, detector: Detector) -> DataFrame:
         raise ValueError(f"{detector.name} needs measurements with a value")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        stream, state, first = None, None, True
-        for b in batches:
-            out = []
-            for s, t, v, lossy in zip(*(b.column(i).to_pylist() for i in (0, 1, 3, 4)), strict=True):
-                if first or s != stream:
-                    stream, state, first = s, detector.start(), False
-                out += [(s, e) for e in detector.step(state, t, v, lossy)]
+        for s, state, t, v, lossy in _stretches(batches, detector):
+            out = [(s, e) for e in detector.steps(state, t, v, lossy)]
             if out:
                 yield batch_of(out)
 
@@ -78,18 +89,16 @@ def details(measurements: DataFrame, detector: Detector) -> DataFrame:
     """What the detector saw at each step that it evaluated, beside its events: names and numbers of its ``describe``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        stream, state, first = None, None, True
-        for b in batches:
-            out = []
-            for s, t, v, lossy in zip(*(b.column(i).to_pylist() for i in (0, 1, 3, 4)), strict=True):
-                if first or s != stream:
-                    stream, state, first = s, detector.start(), False
-                detail = detector.describe(state, v) if v is not None and not lossy else None
-                detector.step(state, t, v, lossy)
-                if detail:
-                    out.append({"stream": s, "_ms": t, "detail": list(detail.items())})
-            if out:
-                yield pa.RecordBatch.from_pylist(out, schema=pa.schema([("stream", pa.string()), ("_ms", pa.int64()), ("detail", pa.map_(pa.string(), pa.float64()))]))
+        schema = pa.schema([("stream", pa.string()), ("_ms", pa.int64()), ("detail", pa.map_(pa.string(), pa.float64()))])
+        for s, state, t, v, lossy in _stretches(batches, detector):
+            found = []
+            detector.steps(state, t, v, lossy, lambda times, columns: found.append((times, columns)))  # noqa: B023
+            if found:
+                names, n = list(found[0][1]), sum(len(times) for times, _ in found)
+                keys = pa.DictionaryArray.from_arrays(pa.array(np.tile(np.arange(len(names), dtype=np.int32), n)), pa.array(names)).cast(pa.string())
+                numbers = np.concatenate([np.column_stack([columns[c] for c in names]) for _, columns in found]).ravel().astype(float)
+                detail = pa.MapArray.from_arrays(pa.array(np.arange(0, len(numbers) + 1, len(names), dtype=np.int32)), keys, pa.array(numbers))
+                yield pa.RecordBatch.from_arrays([pa.array([s] * n, pa.string()), pa.array(np.concatenate([times for times, _ in found]).astype(np.int64)), detail], schema=schema)
 
     rows = measurements.where("time is not null").select("stream", F.unix_millis("time").alias("ms"), "seq", "value", "is_lossy")
     raw = rows.repartition("stream").sortWithinPartitions("stream", "ms", "seq").mapInArrow(run, DETAIL.replace("time timestamp", "_ms long"))

@@ -99,3 +99,30 @@ def test_descriptions_tell_the_signal_to_come():
         told.append(int(detail["signal"]) if detail else 0)
         given.append(len(d.step(state, i + 1, x, False)))
     assert told == given and sum(told) == 1
+
+
+def test_blocks_of_changepoint_give_what_single_steps_give(monkeypatch):
+    """Noise, jumps, outliers, gaps and nulls, in batches that cut anywhere; nearly all rows go by blocks."""
+    values = [1000 + i * 7919 % 701 / 100 + (300_000 if i // 1500 % 2 else 0) + (50_000 if i % 977 == 0 else 0) for i in range(6000)]
+    rows = [(T0 + 1000 * i + (10**6 if i > 4000 else 0), None if i % 501 == 0 else v, i % 503 == 0) for i, v in enumerate(values)]
+    d, want, single = D.Changepoint(60, 4, 1, 900, 10, 5), [], 0
+    state, told = d.start(), []
+    for t, v, x in rows:
+        if v is not None and not x and (detail := d.describe(state, v)):
+            told.append((t, detail))
+        want += d.step(state, t, v, x)
+    step = D.Changepoint.step
+
+    def counted(self, *a):
+        nonlocal single
+        single += 1
+        return step(self, *a)
+
+    monkeypatch.setattr(D.Changepoint, "step", counted)
+    state, out, got = d.start(), [], []
+    note = lambda times, columns: got.extend((t, {k: columns[k][i] for k in columns}) for i, t in enumerate(times))
+    for i in range(0, len(rows), 1700):
+        out += d.steps(state, *zip(*rows[i : i + 1700], strict=True), note)
+    assert len(want) >= 3 and out == want and single < 2000
+    assert [t for t, _ in got] == [t for t, _ in told]
+    assert all(a == pytest.approx(b, rel=1e-9) for (_, a), (_, b) in zip(got, told, strict=True))
