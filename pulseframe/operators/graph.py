@@ -83,7 +83,7 @@ def relabel(edges: DataFrame, aliases: DataFrame) -> DataFrame:
 def largest_component(edges: DataFrame) -> DataFrame:
     """The edges of the largest weakly connected component; of equals, that with the smallest vertex. The edges are written once, since they are read twice."""
     edges = written(edges, "edges")
-    parts = components(edges.select(F.col("src").alias("u"), F.col("dst").alias("v")))
+    parts = components(edges.select(F.col("src").alias("u"), F.col("dst").alias("v")), stored=True)
     sizes = parts.groupBy("component").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "component").limit(1)
     inside = parts.join(F.broadcast(sizes.select("component")), "component").select(F.col("node").alias("src"))
     return edges.join(inside, "src", "left_semi")

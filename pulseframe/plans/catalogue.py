@@ -428,10 +428,11 @@ def octet_cdf(spark, sf):
     return windows.octet_distribution(table(spark, sf, "events").select((F.col("event_id") % 97).alias("octet"))).select("octet", "n", F.round("before", 9).alias("before"))
 
 
-def _edges(spark, sf, since: str | None = None):
-    days = F.expr("datediff(cast(l_shipdate as date), date'1970-01-01')")
-    rows = table(spark, sf, "lineitem").select(F.concat(F.lit("S"), "l_suppkey").alias("src"), F.concat(F.lit("P"), "l_partkey").alias("dst"), F.timestamp_seconds(days.cast("long") * 86400).alias("last_seen"))
-    return rows.groupBy("src", "dst").agg(F.max("last_seen").alias("last_seen"))
+def _edges(spark, sf):
+    """By the keys as they are; their names are made of the edges, not of the rows."""
+    day = F.expr("datediff(cast(l_shipdate as date), date'1970-01-01')")
+    rows = table(spark, sf, "lineitem").groupBy("l_suppkey", "l_partkey").agg(F.max(day).alias("day"))
+    return rows.select(F.concat(F.lit("S"), "l_suppkey").alias("src"), F.concat(F.lit("P"), "l_partkey").alias("dst"), F.timestamp_seconds(F.col("day").cast("long") * 86400).alias("last_seen"))
 
 
 EDGES = "x AS (SELECT 'S' || l_suppkey::VARCHAR AS src, 'P' || l_partkey::VARCHAR AS dst, max(epoch_ms(l_shipdate::DATE::TIMESTAMP)) AS last_ms FROM lineitem GROUP BY 1, 2), latest AS (SELECT max(last_ms) AS t FROM x)"

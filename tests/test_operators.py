@@ -311,3 +311,17 @@ def test_end_distances_by_bits(spark, monkeypatch):
         got = graph.end_distances(edges, ends, most)
         assert sorted(got.collect()) == sorted(slow.collect())
     assert got.where("origin = 'alone'").collect()[0][:] == ("alone", "alone", 0)
+
+
+def test_components_of_dense_graphs_by_a_sample_keep_links_that_it_leaves_out(spark, monkeypatch):
+    """The one edge between two of three cliques is to no node's smallest or largest neighbour."""
+    from pulseframe.operators import components as module
+
+    monkeypatch.setattr(module, "MANY", 1)
+    cliques = [range(0, 48, 2), range(1, 48, 2), range(100, 124)]
+    rows = [(a, b) for c in cliques for a in c for b in c if a < b] + [(10, 25)]
+    calls, known = [], module._by_sample
+    monkeypatch.setattr(module, "_by_sample", lambda *a: calls.append(1) or known(*a))
+    got = module.components(spark.createDataFrame(rows, "u long, v long"))
+    assert calls == [1]
+    assert sorted(map(tuple, got.collect())) == [(n, 0) for n in range(48)] + [(n, 100) for n in range(100, 124)]
